@@ -22,7 +22,7 @@ FEATURES = {
     "chars_per_word": "word_chars / greatest(n_words, 1)",
 }
 #: Cut points tested for each statistic: quantiles of the labelled rows at these shares.
-CUTS = (0.02, 0.05, 0.1, 0.2, 0.5, 0.8, 0.9, 0.95, 0.98)
+CUTS = (0.0, 0.02, 0.05, 0.1, 0.3, 0.5, 0.7, 0.85, 0.9, 0.94, 0.97, 1.0)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -89,8 +89,8 @@ def _cells(stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple[tuple[i
     """
     quantiles = stats.agg(*[F.percentile_approx(F.expr(e), list(CUTS), 10_000).alias(k) for k, e in FEATURES.items()]).first()
     cuts = {k: sorted({float(x) for x in (quantiles[k] or [])}) for k in FEATURES}
-    # the ratio is over a cut point if it is at or above it; half a step above the least value splits it off
-    cuts = {k: sorted({*v, *(x + 1e-9 for x in v)}) for k, v in cuts.items()}
+    # half-way between neighbouring quantiles, so that a threshold keeps its distance from either side
+    cuts = {k: [(a + b) / 2 for a, b in zip(v, v[1:])] for k, v in cuts.items()}
 
     def cell(k: str) -> Column:
         x, out = F.expr(FEATURES[k]), F.lit(0)
