@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 #: Rows that one window partition holds at most, on average, in `running_total`.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

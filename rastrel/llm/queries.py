@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, packing, pii, quality_rules, sharding
+from . import chat, fingerprints, langid, mixing, near_dedup, packing, pii, quality_rules, sharding
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -48,5 +52,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_chat, op4_pii, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_chat, op4_pii, op5_near_dedup, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding)}
 ORACLES: dict[str, str] = {}
