@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, near_dedup, packing, pii, quality_rules, sharding
+from . import chat, fingerprints, langid, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, sharding
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -52,5 +56,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_chat, op4_pii, op5_near_dedup, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_chat, op4_pii, op5_near_dedup, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding)}
 ORACLES: dict[str, str] = {}
