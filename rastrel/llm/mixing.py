@@ -97,4 +97,5 @@ def mix(docs: DataFrame, budget: float | None = None, max_epochs: int = 4, seed:
     whole = F.when(F.col("full_epochs") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("full_epochs") - 1)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("_rest", rest).withColumn("epoch", F.explode(F.concat(whole, last)))
     partial = F.col("epoch") == F.col("full_epochs")
-    return rows.select("doc_id", *LEVELS, "epoch", "n_tokens", F.when(partial, F.col("start_token")).alias("start_token"), F.when(partial, F.col("_rest")).otherwise(F.col("n_tokens")).alias("take_tokens"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    own = [c for c in LEVELS if c not in keep]
+    return rows.select("doc_id", *own, "epoch", "n_tokens", F.when(partial, F.col("start_token")).alias("start_token"), F.when(partial, F.col("_rest")).otherwise(F.col("n_tokens")).alias("take_tokens"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
