@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -37,3 +38,19 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def staging_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="staging-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,0 +1 @@
+"""Nothing here streams: the workflows are batch only."""
