@@ -63,4 +63,46 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_chat, op4_pii, op5_near_dedup, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding, pipeline)}
-ORACLES: dict[str, str] = {}
+
+ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SEP\])', '\1\\\2\3', 'g')"
+SAID = "</s>[INST] ok [/INST]"
+CHAT_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{SAID}'), (-1, 1, 'assistant', '{SAID}')) x),
+turns AS (SELECT *, row_number() OVER w AS rn, lag(role) OVER w AS prev FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(4 + sum(length({ESCAPED.format('text')}) + CASE WHEN prev IS NULL THEN 16 + length({ESCAPED.format('role')}) WHEN prev <> role THEN 17 + length({ESCAPED.format('role')}) ELSE 5 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def _share(name: str, source: str, parent: str, budget: str, key: str, out: str) -> str:
+    part = f"PARTITION BY {parent}" if parent else ""
+    return f"""{name} AS (SELECT *, CASE WHEN fl THEN cap WHEN opn > 0 THEN ({budget} - given) * wt / opn ELSE 0 END AS {out} FROM (
+  SELECT *, sum(CASE WHEN fl THEN cap ELSE 0::DOUBLE END) OVER ({part}) AS given, sum(CASE WHEN fl THEN 0::DOUBLE ELSE wt END) OVER ({part}) AS opn FROM (
+  SELECT *, ratio * rest + bef <= {budget} AS fl FROM (
+  SELECT *, coalesce(sum(cap) OVER ({part} ORDER BY ratio, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(wt) OVER ({part} ORDER BY ratio, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM (SELECT *, cap / wt AS ratio FROM ({source}))))))"""
+
+
+def _case(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + f" ELSE {mixing.OTHER}::DOUBLE END"
+
+
+MIX_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, {[*mixing.DOMAIN_WEIGHTS]}[coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS INT), 0) % {len(mixing.DOMAIN_WEIGHTS)} + 1] AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * 4 AS cap FROM rows GROUP BY ALL),
+{_share("top", f"SELECT domain, sum(cap) AS cap, {_case('domain', mixing.DOMAIN_WEIGHTS)} AS wt, (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaves) AS b0 FROM leaves GROUP BY domain", "", "b0", "domain", "b1")},
+{_share("mid", f"SELECT l.domain, lang, sum(l.cap) AS cap, {_case('lang', mixing.LANG_WEIGHTS)} AS wt, any_value(b1) AS b1 FROM leaves l JOIN top ON top.domain = l.domain GROUP BY l.domain, lang", "domain", "b1", "lang", "b2")},
+{_share("low", "SELECT l.*, 1::DOUBLE AS wt, b2 FROM leaves l JOIN mid ON mid.domain = l.domain AND mid.lang = l.lang", "domain, lang", "b2", "source", "b3")},
+plan AS (SELECT domain, lang, source, tokens, CAST(floor(b3 + 1e-6::DOUBLE) AS BIGINT) AS budget FROM low),
+placed AS (SELECT r.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE budget END AS rest FROM rows r JOIN plan p ON p.domain = r.domain AND p.lang = r.lang AND p.source = r.source WHERE budget > 0),
+started AS (SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_token FROM placed)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(NULL AS BIGINT) AS start_token, CAST(n_tokens AS BIGINT) AS take_tokens FROM started, range(0, 4) t(epoch) WHERE epoch < whole
+UNION ALL SELECT doc_id, domain, lang, source, CAST(whole AS BIGINT), CAST(n_tokens AS BIGINT), start_token, CAST(least(n_tokens, rest - start_token) AS BIGINT) FROM started WHERE least(n_tokens, rest - start_token) > 0"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIX_SQL, "op3_chat": CHAT_SQL}
