@@ -50,7 +50,7 @@ def best_epoch(log: DataFrame, patience: int, by: list[str] | None = None) -> Da
     """
     w = Window.partitionBy(*(by or [])).orderBy("epoch")
     before = F.max("f1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = log.withColumn("improved", F.col("f1") > F.coalesce(before, F.lit(0.0)))
+    d = log.withColumn("improved", F.col("f1") > F.coalesce(before, F.lit(float("-inf"))))
     last = F.coalesce(F.max(F.when(F.col("improved"), F.col("epoch"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     d = d.withColumn("best_epoch", last).withColumn("wait", F.col("epoch") - last)
     stopped = F.coalesce(F.max("wait").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

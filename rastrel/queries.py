@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.cells import clean_factor, int_list, null_nodata, strip_module
-from .operators import attrib, drainage, metrics, mosaic, rank, sample, score, smooth, terrain, windows
-from .plans import fixtures, morphometric, predict, prepare
+from .operators import attrib, drainage, metrics, mosaic, network, rank, sample, score, smooth, terrain, windows
+from .plans import fixtures, morphometric, predict, prepare, train
 from .session import staged
 from .sources import catalog, config, rasters
 
@@ -268,7 +268,7 @@ def masked_cross_entropy(spark, sf_dir):
 LOG = f"{PRED}, lg AS (SELECT CAST(substr(g, 4) AS INT) + 1 epoch, round(coalesce(2 * count(*) FILTER (y = 1 AND pred = 1) / nullif(2 * count(*) FILTER (y = 1 AND pred = 1) + count(*) FILTER (y = 0 AND pred = 1) + count(*) FILTER (y = 1 AND pred = 0), 0)::DOUBLE, 0), 6) f1 FROM pr WHERE y <> -1 GROUP BY g)"
 
 
-@query(f"WITH {LOG}, a AS (SELECT epoch, f1, f1 > coalesce(max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) improved FROM lg), b AS (SELECT *, coalesce(max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch), 0) best_epoch FROM a), d AS (SELECT *, epoch - best_epoch wait FROM b) SELECT * FROM d WHERE epoch <= coalesce((SELECT min(epoch) FROM d WHERE wait >= 4), 1000000)")
+@query(f"WITH {LOG}, a AS (SELECT epoch, f1, f1 > coalesce(max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) improved FROM lg), b AS (SELECT *, coalesce(max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch), 0) best_epoch FROM a), d AS (SELECT *, epoch - best_epoch wait FROM b) SELECT * FROM d WHERE epoch <= coalesce((SELECT min(epoch) FROM d WHERE wait >= 4), 1000000)")
 def best_epoch(spark, sf_dir):
     log = metrics.binary_metrics(fixtures.predictions(spark, sf_dir), ["g"]).select((F.substring("g", 4, 9).cast("int") + 1).alias("epoch"), _r("f1"))
     return metrics.best_epoch(log, patience=4)
@@ -353,6 +353,35 @@ def first_slide_sample(spark, sf_dir):
     return attrib.first_slide_sample(s)
 
 
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bands of each pixel and a target that a linear scorer can learn; rows of even r train."""
+    d = score.band_stack(_clean(spark, sf_dir)).withColumn("y", (F.get("f", F.lit(0)) + F.get("f", F.lit(1)) > 1).cast("int"))
+    return d.where("r % 2 = 0"), d.where("r % 2 = 1")
+
+
+def trained_scorer(spark, sf_dir):
+    """Training log of the linear scorer, and its held-out metrics in the last row (epoch 0)."""
+    fit, held = _split(spark, sf_dir)
+    found = train.fit_linear(fit, held, 20, epochs=12, rate=0.1, patience=5)
+    log = spark.createDataFrame(found.log, "epoch int, loss double, f1 double, rate double")
+    return log.unionByName(train.evaluate_linear(held, found).select(F.lit(0).alias("epoch"), F.lit(None).cast("double").alias("loss"), "f1", F.lit(None).cast("double").alias("rate")))
+
+
+def network_scores(spark, sf_dir):
+    """Windows of the elevation and a second band scored by the network with fixed small weights: overlap, r, c, p."""
+    dem = fixtures.dem(spark, sf_dir).where("r < 32 and c < 40")
+    pixels = dem.select("r", "c", F.array(F.coalesce(F.col("z") / 100, F.lit(0.0)), F.col("c") / F.lit(40.0)).alias("f"))
+    h, w = _size(dem)
+
+    def load():
+        p = network.fresh(2, 1, (8, 16, 16, 16), 8)
+        return lambda x: network.probability(x, p)
+
+    return predict.windowed(pixels, h, w, 16, [4], load, 2)
+
+
+QUERIES |= {"trained_scorer": trained_scorer, "network_scores": network_scores}
+
 CONFIG = [("crop_size", "int", "512"), ("lr", "float", "0.0001"), ("use_gpu", "bool", "True"), ("device_ids", "list", "[0, 1]"), ("empty", "list", "[]"), ("map", "file", "out.tif")]
 
 
