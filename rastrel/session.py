@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,7 +34,9 @@ def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package: send it once a session, unless PYTHONPATH has it already."""
     if str(ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (app := spark.sparkContext.applicationId) in _shipped:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "rastrel_package.zip")
+    own = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = os.path.join(own, "rastrel_package.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(ROOT.rglob("*.py")):
             z.write(f, f.relative_to(ROOT.parent))
@@ -44,7 +48,9 @@ def staging_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="staging-")
+        own = tempfile.mkdtemp(prefix="staging-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
