@@ -104,7 +104,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _record("slot n", [pa.int64()] * 2, [used, counts[used]])
 
 
-def _posted(sketch, prefix: int):
+def _posted(sketch, prefix: int, members: int):
     """Each class under its `prefix` rarest coordinate-value pairs; those of long lists to pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def _posted(sketch, prefix: int):
                 col = order.ravel()
                 token, often = token[row, col], often[row, col]
                 node = np.asarray(some.column(0))
-                blocks = -(-often // BLOCK)
+                blocks = -(-often // members)
                 own = (node[row].astype(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % blocks
                 copies = np.repeat(np.arange(len(row)), blocks)
                 other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -262,7 +262,7 @@ def _linked(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Rows with equal shingle sets form a class, which its smallest doc_id stands for. A class's MinHash signature
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     counts = known.select("sig").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COORDINATES x SKETCH rows at most
     sketch = np.zeros(COORDINATES * SKETCH, np.int64)
     sketch[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    posted = known.select("node", "weight", "sig").mapInArrow(_posted(spark.sparkContext.broadcast(sketch), COORDINATES - least + 1), "token long, block long, node long, weight long, sig binary")
+    posted = known.select("node", "weight", "sig").mapInArrow(_posted(spark.sparkContext.broadcast(sketch), COORDINATES - least + 1, block), "token long, block long, node long, weight long, sig binary")
     posted = posted.repartition("token", "block").sortWithinPartitions("token", "block", F.desc("weight"), "node")
     active = staged(posted.mapInArrow(_lists(least), "token long, block long, node long, leader long"), "near-active")
 
