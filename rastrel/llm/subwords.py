@@ -1,25 +1,35 @@
-"""Token ids of texts by a public tokenizer's file, with a cache of word pieces."""
+"""Token ids of texts by a public tokenizer's file, with a cache of words."""
 
 from __future__ import annotations
 
 import json
-import re as std_re
+import re
 
 import numpy as np
-import regex
 
-#: Word pieces that a worker keeps, at most; the cache starts anew beyond.
-CACHE = 400_000
+#: Words and word pieces that a worker keeps, at most; the cache starts anew beyond.
+CACHE = 1_200_000
 #: Texts with other characters, or with what looks like a special token, go to the tokenizer itself.
-UNSAFE = std_re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ɏ‐-‧]|<\\|")
+UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧]|<\\|")
+# Fixed value: the pattern that cuts a text into pieces in the file with word ends.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same cut among the characters that aren't unsafe.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+
+
+def byte_names() -> list[str]:
+    """Byte-level vocabularies spell a byte as itself if it prints in Latin-1, else as the next character from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
 class Subwords:
     """Same ids as the tokenizer's own encode(text, add_special_tokens=False).
 
-    The file's pre-tokenizer cuts a text into word pieces that are encoded each on its own, so a piece's ids can be
-    kept. That holds for files with lower-casing, a pattern for the pieces and an end-of-word mark, which is
-    checked; any other file is used without the cache.
+    The file's pre-tokenizer drops white space and cuts what is left into pieces that are encoded each on its own,
+    so a word's ids can be kept. That holds for files with lower-casing, the known pattern and byte-level pieces,
+    which is checked; any other file is used without the cache.
     """
 
     _loaded: dict[str, Subwords] = {}
@@ -36,38 +46,35 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        self.size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+        self.size = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.narrow = self.size <= 1 << 16
-        mark = spec["model"].get("end_of_word_suffix")
         steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
-        cut = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.pattern = None
-        if mark and steps == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut.get("invert") and cut.get("behavior") == "Removed":
-            self.pattern = regex.compile(cut["pattern"]["Regex"])
-            self.ends = np.zeros(self.size, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.words = steps == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == KNOWN and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and cut[1].get("type") == "ByteLevel" and cut[1].get("add_prefix_space") is False
+        self.tokenize = self.tokenizer.model.tokenize
+        self.names = byte_names()
         self.cache: dict[str, bytes] = {}
 
     def _own(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-        ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(missing):
-            self.cache.update((m, self._own(m)) for m in missing)
-            return
-        raw, at = ids.tobytes(), 0
-        for m, e in zip(missing, (4 * ends).tolist(), strict=True):
-            self.cache[m] = raw[at:e]
-            at = e
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else "".join([self.names[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
+
+    def _learn(self, words: list[str]) -> None:
+        cache = self.cache
+        for word in words:
+            pieces = PIECES.findall(word)
+            for p in pieces:
+                if p not in cache:
+                    cache[p] = self._piece(p)
+            if len(pieces) != 1:
+                cache[word] = b"".join([cache[p] for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
-        if self.pattern is None:
+        if not self.words:
             return [self._own(t or "") for t in texts]
         out = []
         for text in texts:
@@ -75,15 +82,12 @@ class Subwords:
             if UNSAFE.search(text):
                 out.append(self._own(text))
                 continue
-            pieces = self.pattern.findall(text.lower())
-            get = self.cache.get
-            found = [get(p) for p in pieces]
+            words = text.lower().split()
+            found = list(map(self.cache.get, words))
             if None in found:
-                self._learn(list(dict.fromkeys(p for p, x in zip(pieces, found, strict=True) if x is None)))
-                get = self.cache.get
-                found = [get(p) for p in pieces]
-                if None in found:  # the cache was started anew
-                    self._learn(list(dict.fromkeys(pieces)))
-                    found = [self.cache[p] for p in pieces]
+                if len(self.cache) > CACHE:
+                    self.cache.clear()
+                self._learn([w for w in dict.fromkeys(words) if w not in self.cache])
+                found = [self.cache[w] for w in words]
             out.append(b"".join(found))
         return out
