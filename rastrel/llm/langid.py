@@ -118,7 +118,11 @@ class Network:
 
 def sample(docs: DataFrame, seed: int) -> pd.DataFrame:
     """At most SAMPLE_ROWS labelled rows, by hash, each with SAMPLE_SPANS spans at seeded places of its whole text."""
-    rows = docs.where("lang is not null and text is not null and trim(text) <> ''").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    known = docs.where("lang is not null")
+    # by rank alone every task would send as many rows as the sample has, so a share is taken first
+    share = min(1.0, 2.0 * SAMPLE_ROWS / max(1, known.select("lang").count()))
+    rows = known.where("text is not null and trim(text) <> ''").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    rows = rows.where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
     spans = [F.substr("text", (F.pmod(F.xxhash64("_h", F.lit(i)), F.greatest(F.length("text") - CHUNK, F.lit(1))) + 1).cast("int"), F.lit(CHUNK)) for i in range(SAMPLE_SPANS)]
     return rows.select("lang", "_h", *[s.alias(f"s{i}") for i, s in enumerate(spans)]).orderBy("_h").limit(SAMPLE_ROWS).drop("_h").toPandas()
 
