@@ -303,7 +303,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     members = active.select("token", "block", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = staged(members, "near-members")
-    unlike = members.groupBy("token", "block").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("token", "block")
+    # lists with the same members say the same: of those, one is compared
+    mark = F.xxhash64("node")
+    lists = members.groupBy("token", "block").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.bit_xor(mark).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"))
+    unlike = lists.where("_lo <> _hi").groupBy("_n", "_x", "_y").agg(F.min(F.struct("token", "block")).alias("_l")).select("_l.token", "_l.block")
     members = members.join(unlike, ["token", "block"], "left_semi").join(sets, "node").select("token", "block", "node", "component", "shingles")
     rest = members.repartition("token", "block").sortWithinPartitions("token", "block", "node").mapInArrow(_linked(num, den), "a long, b long")
     # what the stars joined is already one node of the graph that the rest is added to
