@@ -376,6 +376,15 @@ def test_base_score_is_exact(spark, corpus, awkward, nothing, monkeypatch):
     assert lm_scoring.score_documents(nothing, "false").count() == 0
 
 
+def test_words_beyond_the_head_have_their_unigram_share(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 20)
+    d = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+    held = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"
+    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, held).collect()}
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 300)
+    assert all(abs(r["score"] - whole[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in lm_scoring.score_documents(d, held).collect())
+
+
 # ---- pipeline and SQL ----------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "pii", "mixing", "packing"]
