@@ -385,6 +385,32 @@ def test_words_beyond_the_head_have_their_unigram_share(spark, corpus, monkeypat
     assert all(abs(r["score"] - whole[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in lm_scoring.score_documents(d, held).collect())
 
 
+def test_table_learns_from_every_training_row(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 1)
+    rows = [(i, "the cat sat on the mat " * 4 if i % 2 else "red green blue " * 8) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    models = []
+    real = lm_scoring.relearn
+
+    def seen(model, teach, path):
+        before = model.table.copy()
+        real(model, teach, path)
+        models.append((model, before))
+
+    monkeypatch.setattr(lm_scoring, "relearn", seen)
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, "doc_id >= 380").collect()}
+    model, before = models[0]
+    # as one task over all rows, and unlike what the one sampled span said
+    scorer = lm_scoring.Scorer(lm_scoring.Model(model.p, before, model.rows, model.shares), {}, 0, lm_scoring.default_tokenizer())
+    counts = 1e-3 * model.shares[:, None] * np.ones((1, lm_scoring.EXPERTS))
+    scorer.expect([lm_scoring.words_of(t) for i, t in rows if i < 380], counts)
+    n = sum(len(scorer.encoder.word(w)) for i, t in rows if i < 380 for w in lm_scoring.words_of(t)) + 380
+    assert abs(counts.sum() - n) < 1
+    scorer.model.settle(counts)
+    assert np.allclose(scorer.model.table, model.table, atol=1e-4) and not np.allclose(before, model.table, atol=0.01)
+    assert min(out.values()) > -40
+
+
 # ---- pipeline and SQL ----------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "pii", "mixing", "packing"]
