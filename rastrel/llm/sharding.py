@@ -26,11 +26,27 @@ def _occupied(blocks: DataFrame, shards: int) -> list[int]:
     return [int(found.get(s, 0)) for s in range(shards)]
 
 
-def _propagate(blocks: DataFrame, quotas: list[int], seed: int) -> DataFrame:
-    """One round. A block is the rows of one group in one shard: they are alike, so labels move by blocks.
+def _whole(groups: list[tuple[int, int, int]], quotas: list[int]) -> list[tuple[int, int, int, int]]:
+    """Blocks (group, shard, rows) that fill whole shards: of each group (its key and rows) as many as it can fill."""
+    least = max(1, min(quotas))
+    left, out = [s for s, q in enumerate(quotas) if q], []
+    for a, b, n in sorted(groups, key=lambda g: (-g[2], g)):
+        while fit := [s for s in left if quotas[s] <= n]:
+            # a shard with a row more only if that doesn't cost a whole shard
+            s = (max if n % least else min)(fit, key=lambda s: (quotas[s], s))
+            out.append((a, b, s, quotas[s]))
+            left.remove(s)
+            n -= quotas[s]
+    return out
+
+
+def _propagate(blocks: DataFrame, quotas: list[int], seed: int) -> tuple[DataFrame, int]:
+    """One round: the blocks after it, and how many rows moved. A block is the rows of one group in one shard: they are alike, so labels move by blocks.
 
     Each block asks for the shard that holds most of its group, among its own and those with room. Two shards
-    may always swap as much as both ask of each other; what is beyond goes into free room, in hash order.
+    may always swap as much as both ask of each other; what is beyond goes into free room, in hash order. Of a group,
+    rows only join blocks that are no smaller and stay or grow, so the sum of squares of the blocks grows with each
+    move: rounds come to an end.
     """
     shards = len(quotas)
     free = [max(0, q - o) for q, o in zip(quotas, _occupied(blocks, shards), strict=True)]
@@ -63,14 +79,15 @@ def _propagate(blocks: DataFrame, quotas: list[int], seed: int) -> DataFrame:
     moved = F.greatest(F.lit(0), F.least(F.col("n"), granted - F.col("_start")))
     parts = ranked.select(*GROUP, F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - moved).alias("n")), F.struct(F.col("to").alias("shard"), moved.alias("n")))).alias("p")).select(*GROUP, "p.*")
     kept = asked.where("to = shard").select(*GROUP, "shard", "n")
-    return staged(kept.unionByName(parts).where("n > 0").groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")), "shard-blocks")
+    blocks = staged(kept.unionByName(parts).where("n > 0").groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")), "shard-blocks")
+    return blocks, sum(grant.values())
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: int = 20) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     """Shard every row of `docs` (doc_id, text); returns doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows.
 
-    Edges link rows with equal texts. Labels start round-robin; each round moves blocks under capacity quotas
-    (`_propagate`); rows without an edge then fill each shard up to its quota, so that row counts are at most one
+    Edges link rows with equal texts. Groups that fill whole shards get them first (`_whole`); the labels of what is
+    left start round-robin, and each round moves blocks under capacity quotas (`_propagate`), until none moves; rows without an edge then fill each shard up to its quota, so that row counts are at most one
     apart. Null text counts as empty (size 8, CRC 0); null doc_ids and repeated rows are rows like others; an
     empty table gives no rows; other columns are ignored. A group larger than a shard fills whole shards first.
     """
@@ -89,13 +106,24 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: in
     total = rows.count()
     quotas = _quotas(total, shards)
     groups = staged(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1"), "shard-groups")
+    # no more groups than twice the shards can be as large as the least shard
+    whole = _whole([tuple(r) for r in groups.where(F.col("group_rows") >= max(1, min(quotas))).collect()] if total else [], quotas)
+    fixed = docs.sparkSession.createDataFrame(whole, "_g1 long, _g2 long, shard int, n long")
+    taken = fixed.groupBy(*GROUP).agg(F.sum("n").alias("_taken"))
+    rest = groups.join(F.broadcast(taken), GROUP, "left").select(*GROUP, (F.col("group_rows") - F.coalesce("_taken", F.lit(0))).alias("n")).where("n > 0")
+    full = {b[2] for b in whole}
+    open_quotas = [0 if s in full else q for s, q in enumerate(quotas)]
+    free = sorted((s for s in range(shards) if s not in full), key=lambda s: -quotas[s]) or [0]  # those with a row more come first
     order = F.xxhash64("_g1", "_g2", F.lit(seed))
-    dealt = running_total(groups, [], F.pmod(order, n_buckets(F.lit(total))), [order, F.col("_g1"), F.col("_g2")], F.col("group_rows"), "_first")
-    part = F.explode(F.sequence(F.lit(0), F.least(F.col("group_rows"), F.lit(shards)) - 1))
-    blocks = dealt.withColumn("_j", part).select(*GROUP, F.pmod(F.col("_first") + F.col("_j"), F.lit(shards)).cast("int").alias("shard"), (F.floor((F.col("group_rows") - F.col("_j") - 1) / shards) + 1).cast("long").alias("n"))
+    dealt = running_total(staged(rest, "shard-rest"), [], F.pmod(order, n_buckets(F.lit(total))), [order, F.col("_g1"), F.col("_g2")], F.col("n"), "_first")
+    part = F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(len(free))) - 1))
+    blocks = dealt.withColumn("_j", part).select(*GROUP, _lookup(F.pmod(F.col("_first") + F.col("_j"), F.lit(len(free))), free).alias("shard"), (F.floor((F.col("n") - F.col("_j") - 1) / len(free)) + 1).cast("long").alias("n"))
     blocks = staged(blocks, "shard-blocks")
-    for r in range(rounds):
-        blocks = _propagate(blocks, quotas, seed + r)
+    r, still = 0, 0
+    while still < 2:  # ties are broken anew in each round, so one without a move may be by chance
+        blocks, moved = _propagate(blocks, open_quotas, seed + r)
+        r, still = r + 1, 0 if moved else still + 1
+    blocks = staged(blocks.unionByName(fixed), "shard-blocks")
     filled = _occupied(blocks, shards)
 
     # rows of a group take its blocks in order of their rank; a group has one block a shard at most

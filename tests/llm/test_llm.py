@@ -304,6 +304,19 @@ def test_shards(spark, corpus, awkward, nothing):
     assert sharding.shard_documents(awkward).count() == 11 and sharding.shard_documents(nothing).count() == 0
 
 
+def test_large_groups_fill_whole_shards(spark):
+    rows = [(i, "shared" if i < 4000 else f"pair {i // 2}" if i < 8000 else f"some {i % 9}" if i < 9000 else f"single {i}") for i in range(12000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n, group = collections.Counter(r["shard"] for r in out), collections.defaultdict(set)
+    for r in out:
+        group[r["text_crc32"]].add(r["shard"])
+    assert set(n.values()) == {500} and len(group[zlib.crc32(b"shared")]) == 8
+    assert sum(len(x) > 1 for x in group.values()) < 20
+    # a longer shard is used where it costs no whole one
+    assert [b[3] for b in sharding._whole([(1, 1, 7)], [4, 4, 3, 3])] == [4, 3]
+    assert [b[3] for b in sharding._whole([(1, 1, 6)], [4, 4, 3, 3])] == [3, 3]
+
+
 # ---- 1 -------------------------------------------------------------------------------------------------------------
 def test_shortages_go_to_siblings_first(spark):
     rows = [("web", "en", "s1", 1, 100), ("web", "en", "s2", 1, 1000), ("web", "de", "s3", 1, 1000), ("books", "en", "s4", 1, 1000)]
