@@ -58,8 +58,8 @@ def _propagate(blocks: DataFrame, quotas: list[int], seed: int) -> tuple[DataFra
         blocks.withColumn("_wanted", wanted)
         .withColumn("_full", full)
         .withColumn("_best", F.when(F.col("_wanted.n") >= F.col("n"), F.col("_wanted.shard")).otherwise(F.col("shard")))
-        # a full shard that holds more of the group can still be reached by a swap
-        .withColumn("to", F.when((F.col("_best") == F.col("shard")) & (F.col("_full.n") > F.col("n")), F.col("_full.shard")).otherwise(F.col("_best")))
+        # a full shard that holds more of the group, or as much and comes first by hash, can still be reached by a swap
+        .withColumn("to", F.when((F.col("_best") == F.col("shard")) & ((F.col("_full.n") > F.col("n")) | (F.col("_full.n") == F.col("n")) & (F.coalesce("_wanted.n", F.lit(0)) < F.col("n"))), F.col("_full.shard")).otherwise(F.col("_best")))
         .select(*GROUP, "shard", "n", "to")
     )
     asked = staged(asked, "shard-asked")

@@ -317,6 +317,15 @@ def test_large_groups_fill_whole_shards(spark):
     assert [b[3] for b in sharding._whole([(1, 1, 6)], [4, 4, 3, 3])] == [3, 3]
 
 
+def test_pairs_meet_without_free_room(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(6000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect()
+    group = collections.defaultdict(set)
+    for r in out:
+        group[r["text_crc32"]].add(r["shard"])
+    assert set(collections.Counter(r["shard"] for r in out).values()) == {1000} and sum(len(x) > 1 for x in group.values()) < 60
+
+
 # ---- 1 -------------------------------------------------------------------------------------------------------------
 def test_shortages_go_to_siblings_first(spark):
     rows = [("web", "en", "s1", 1, 100), ("web", "en", "s2", 1, 1000), ("web", "de", "s3", 1, 1000), ("books", "en", "s4", 1, 1000)]
