@@ -19,11 +19,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: five words, similarity of 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id")
-    once = staged(gone.distinct(), "pipeline-gone")
-    # rows of one doc_id are one document: of repeated rows, one stays
-    return docs.join(once, "doc_id", "left_anti").select(COLUMNS)
+    """Keeps one row of each group of texts: five words, similarity of 0.8 or more.
+
+    Groups are of texts, which a hash names, not of doc_ids: so repeated rows and null doc_ids count as copies, and
+    another text of the same doc_id doesn't. The smallest doc_id stays (null last); a text without a word is alone.
+    """
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_no", F.col("doc_id").isNull()).withColumn("_i", F.coalesce("doc_id", F.lit(0)))
+    key = ["_h", "_no", "_i"]
+    found = near_dedup.near_duplicates(rows.select(F.col("_h").alias("doc_id"), "text"), k=5, num=80, den=100)
+    linked = staged(found.where("n_shingles > 0").select(F.col("doc_id").alias("_h"), "component_id").distinct(), "pipeline-groups")
+    each = staged(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).join(linked, "_h", "left"), "pipeline-rows")
+    first = each.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("_no", "_i", "_h", "_n")).alias("f")).select("f.*")
+    stay = staged(first.select(*key, "_n").unionByName(each.where("component_id is null").select(*key, "_n")), "pipeline-stay")
+    out = rows.join(stay.where("_n = 1"), key, "left_semi").select(COLUMNS)
+    repeated = stay.where("_n > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(rows.join(repeated, key, "left_semi").dropDuplicates(key).select(COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -445,6 +445,15 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = a + " more"
+    rows = [(5, a), (5, a), (None, a), (7, near), (9, near), (9, b), (9, b), (None, c), (None, c), (None, d), (1, ""), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(5, a), (9, b), (None, c), (None, d), (1, ""), (2, "")], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
