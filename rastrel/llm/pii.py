@@ -11,16 +11,34 @@ ROUNDS = 8
 #: Dates are permuted among this many days (340 x 215) from FIRST_DAY on; dates outside stay as they are.
 FIRST_DAY, DAY_HALVES = "1900-01-01", (340, 215)
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """In fours or without spaces, at the country's length; digits of other countries, and their codes without spaces."""
+    group = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "")
+    known = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}{group(n)}" for n, c in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{known}|[A-Z]{{2}}\d{{2}}(?:(?: ?\d{{4}}){{3,6}}(?: ?\d{{1,3}})?|[A-Z0-9]{{11,30}}))(?![A-Za-z0-9])"
+
+
+#: What a space within a phone number isn't before: another date, address, security or card number.
+OTHER = r"(?!\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4}|(?:\d{1,3}\.){3}\d|\d{3}-\d{2}-\d{4}|\d{4}[ -]\d{4,6}[ -]\d{4}|\d{13})"
+
 # What each kind of value looks like. Each is validated before it is replaced.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<=password=)[^\s\"']{6,}|(?<=token = \")[^\s\"]{6,}|(?<=secret=)[^\s\"']{6,}|(?<=api_key=)[^\s\"']{6,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])(?:1 )?[2-9]\d{2} [2-9]\d{2}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d(?:(?:[ .-]" + OTHER + r")?\(?\d\)?){7,14}(?!\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -83,10 +101,11 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The ten national digits, or those after the first two of an international number."""
+    """The ten national digits, or those after the first two of an international number; after the first of another +1."""
 
     def made(d):
-        n = F.when(m.startswith("+") & ~m.contains("-") & ~m.contains(" ") & ~m.contains("("), F.length(d) - 2).otherwise(F.lit(10))
+        plain = ~m.contains("-") & ~m.contains(" ") & ~m.contains("(") & ~m.contains(".")
+        n = F.when(m.startswith("+") & (plain | ~m.startswith("+1")), F.length(d) - 2).when(m.startswith("+"), F.least(F.lit(10), F.length(d) - 1)).otherwise(F.lit(10))
         return let(n, lambda k: _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - k), _permute_digits(F.substr(d, F.length(d) - k + 1, k), key, "phone"))))
 
     return let(_digits(m), made)
@@ -135,15 +154,52 @@ def _date(m: Column, key: str) -> Column:
     return let(form, parts)
 
 
+def _letters(m: Column) -> Column:
+    return F.regexp_replace(m, "[^A-Z]", "")
+
+
+def _permute_letters(a: Column, key: str, kind: str) -> Column:
+    """Permutation of the strings of A-Z of one length (up to 26), halved."""
+    n = F.length(a)
+    k = F.floor(n / 2).cast("int")
+    size = lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(1).cast("long"), lambda p, i: F.when(i == 0, p).otherwise(p * 26))
+    value = lambda t: F.aggregate(F.split(t, ""), F.lit(0).cast("long"), lambda v, c: F.when(c == "", v).otherwise(v * 26 + F.ascii(c) - 65))
+
+    def text(v, n):
+        done = F.aggregate(F.sequence(F.lit(0), n), F.struct(v.alias("v"), F.lit("").alias("t")), lambda s, i: F.when(i == 0, s).otherwise(F.struct(F.floor(s["v"] / 26).alias("v"), F.concat(F.char((s["v"] % 26 + 65)), s["t"]).alias("t"))))
+        return done["t"]
+
+    made = let(feistel(value(F.substr(a, F.lit(1), k)), size(k), value(F.substr(a, k + 1, n - k)), size(n - k), key, kind), lambda s: F.concat(text(s["x"], k), text(s["y"], n - k)))
+    return F.when(n > 0, made).otherwise(F.lit(""))
+
+
+def _refill_both(m: Column, digits: Column, letters: Column) -> Column:
+    """`m` with its digits and capitals replaced, one by one."""
+
+    def at(j):
+        c, upto = F.substr(m, j, F.lit(1)), F.substr(m, F.lit(1), j)
+        return F.when(c.between("0", "9"), F.substr(digits, F.length(_digits(upto)), F.lit(1))).when(c.between("A", "Z"), F.substr(letters, F.length(_letters(upto)), F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), at), "")
+
+
+def _mod97(t: Column) -> Column:
+    """Of digits and capitals, these as 10 to 35."""
+    step = lambda v, c: F.when(c == "", v).when(c.between("0", "9"), (v * 10 + F.ascii(c) - 48) % 97).otherwise((v * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(t, ""), F.lit(0), step)
+
+
 def _iban(m: Column, key: str) -> Column:
-    """Validated modulo 97; the account digits are permuted and the check digits made anew."""
+    """Validated modulo 97; the account's digits and letters are permuted and the check digits made anew."""
 
     def made(c):
-        letters = F.concat(*[(F.ascii(F.substr(c, F.lit(i), F.lit(1))) - 55).cast("string") for i in (1, 2)])
-        account, check = F.substr(c, F.lit(5)), F.substr(c, F.lit(3), F.lit(2))
-        rest = lambda a, k: (F.concat(a, letters, k).cast("decimal(38,0)") % 97).cast("int")
-        new = lambda a: _refill(m, F.concat(_pad(F.lit(98) - rest(a, F.lit("00")), F.lit(2)), a))
-        return F.when((F.length(account).between(12, 27)) & (rest(account, check) == 1), let(_permute_digits(account, key, "iban"), new))
+        country, check, account = F.substr(c, F.lit(1), F.lit(2)), F.substr(c, F.lit(3), F.lit(2)), F.substr(c, F.lit(5))
+        digits = let(_digits(account), lambda d: F.when(F.length(d) > 0, _permute_digits(d, key, "iban")).otherwise(F.lit("")))
+        # two parts, so that the halves of each fit in 64 bits
+        letters = let(_letters(account), lambda a: F.concat(_permute_letters(F.substr(a, F.lit(1), F.lit(16)), key, "iban-a"), _permute_letters(F.substr(a, F.lit(17), F.lit(99)), key, "iban-b")))
+        changed = let(F.struct(digits.alias("d"), letters.alias("a")), lambda s: F.struct(s["d"].alias("d"), s["a"].alias("a"), _refill_both(account, s["d"], s["a"]).alias("t")))
+        anew = lambda s: _refill_both(m, F.concat(_pad(F.lit(98) - _mod97(F.concat(s["t"], country, F.lit("00"))), F.lit(2)), s["d"]), F.concat(country, s["a"]))
+        return F.when((F.length(account).between(11, 30)) & (_mod97(F.concat(account, country, check)) == 1), let(changed, anew))
 
     return let(F.regexp_replace(m, " ", ""), made)
 
