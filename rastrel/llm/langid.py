@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import ship_package
 
@@ -117,14 +118,23 @@ class Network:
 
 
 def sample(docs: DataFrame, seed: int) -> pd.DataFrame:
-    """At most SAMPLE_ROWS labelled rows, by hash, each with SAMPLE_SPANS spans at seeded places of its whole text."""
-    known = docs.where("lang is not null")
+    """SAMPLE_ROWS labelled rows at most, each with SAMPLE_SPANS spans at seeded places of its whole text.
+
+    Of each language the first by hash: a floor that all languages have (one row at least, even if that makes more
+    rows than SAMPLE_ROWS), and a share in proportion of what is left.
+    """
+    rows = docs.where("lang is not null and text is not null and trim(text) <> ''").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("first")).collect()  # a row for each language
+    floor = {r["lang"]: min(r["n"], max(1, SAMPLE_ROWS // (4 * len(found)))) for r in found}
+    more = min(1.0, max(0, SAMPLE_ROWS - sum(floor.values())) / max(1, sum(r["n"] for r in found) - sum(floor.values())))
+    wanted = [(r["lang"], floor[r["lang"]] + int(more * (r["n"] - floor[r["lang"]])), r["n"], r["first"]) for r in found]
     # by rank alone every task would send as many rows as the sample has, so a share is taken first
-    share = min(1.0, 2.0 * SAMPLE_ROWS / max(1, known.select("lang").count()))
-    rows = known.where("text is not null and trim(text) <> ''").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    rows = rows.where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    shares = docs.sparkSession.createDataFrame([(k, q, int(min(1.0, (2.0 * q + 50) / n) * (1 << 30)), first) for k, q, n, first in wanted], "lang string, _quota long, _share long, _first long")
+    rows = rows.join(F.broadcast(shares), "lang").where((F.pmod("_h", F.lit(1 << 30)) < F.col("_share")) | (F.col("_h") == F.col("_first")))
     spans = [F.substr("text", (F.pmod(F.xxhash64("_h", F.lit(i)), F.greatest(F.length("text") - CHUNK, F.lit(1))) + 1).cast("int"), F.lit(CHUNK)) for i in range(SAMPLE_SPANS)]
-    return rows.select("lang", "_h", *[s.alias(f"s{i}") for i, s in enumerate(spans)]).orderBy("_h").limit(SAMPLE_ROWS).drop("_h").toPandas()
+    rows = rows.select("lang", "_h", "_quota", *[s.alias(f"s{i}") for i, s in enumerate(spans)])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    return rows.withColumn("_rank", rank).where("_rank <= _quota").orderBy("_h").drop("_h", "_quota", "_rank").toPandas()
 
 
 def train(docs: DataFrame, seed: int = 5, epochs: int = 5, lanes: int = 128, rate: float = 0.01) -> Network | None:

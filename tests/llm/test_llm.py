@@ -272,6 +272,15 @@ def test_language_of_held_out_documents(spark, awkward, nothing):
     assert np.allclose(both[1][:2], [langid.label(net, [t])[1][0] for t in (a, b)], atol=1e-5) and both[0][2] == "und"
 
 
+def test_every_language_is_sampled(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 40)
+    rows = [(i, f"text number {i}", "rare" if i == 1234 else "ab"[i % 2]) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(d, 5)
+    n = collections.Counter(got["lang"])
+    assert n["rare"] == 1 and min(n["a"], n["b"]) > 15 and len(got) <= 40 and list(got.columns) == ["lang", "s0", "s1", "s2"]
+
+
 # ---- 9 -------------------------------------------------------------------------------------------------------------
 def test_fingerprints_and_block_tables(spark, corpus, awkward, nothing):
     out = {r["doc_id"]: r for r in queries.op9_fingerprints(spark, SF).collect()}
