@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,3 +46,22 @@ def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return rows.join(offsets, [*keys, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_bucket", "_offset", "_inside")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows of one key at a time, from batches that are sorted by it."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([np.asarray(batch.column(batch.schema.get_field_index(x))) for x in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(k[:, lo])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import staged
+from .common import grouped, staged
 from .graph import components
 
 #: Signature coordinates; counters a coordinate in the frequency sketch; members that a list's block holds, about.
@@ -134,25 +134,6 @@ def _posted(sketch, prefix: int, members: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Rows of one key at a time, from batches that are sorted by it."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.stack([np.asarray(batch.column(batch.schema.get_field_index(x))) for x in keys])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            key = tuple(k[:, lo])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _lists(least: int):
     """Members of each list whose signatures match another member's, and the list's leader where they match it."""
 
@@ -176,7 +157,7 @@ def _lists(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(4)]
-        for t in _grouped(batches, ("token", "block")):
+        for t in grouped(batches, ("token", "block")):
             if t.num_rows < 2:
                 continue
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
@@ -218,7 +199,7 @@ def _linked(num: int, den: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ("token", "block")):
+        for t in grouped(batches, ("token", "block")):
             raw = t.column("shingles").to_pylist()
             node, comp = t.column("node").to_numpy(), t.column("component").to_numpy()
             size = np.array([len(x) // 8 for x in raw])

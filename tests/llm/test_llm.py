@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__
+import __spark_entried_
 import corpus_pipeline
 from rastrel.llm import chat, fingerprints, graph, langid, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, queries, sharding
 from rastrel.llm.subwords import Subwords
@@ -371,91 +371,163 @@ def test_mix_takes_seeded_prefixes(spark, awkward, nothing):
 
 
 # ---- 2 -------------------------------------------------------------------------------------------------------------
+HELD = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
-    m = lm_scoring.Model.fresh(20, np.arange(20), 1)
+    m = lm_scoring.Model.fresh(np.ones(20, bool), np.full(20, 0.05), 1)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     m.table = rng.dirichlet(np.ones(20), lm_scoring.EXPERTS).T
     x, y = rng.integers(0, 20, (2, lm_scoring.WINDOW)), rng.integers(0, 20, (2, lm_scoring.SCORED))
-    seen = np.ones(x.shape, bool)
-    seen[0, :5] = False
     on = np.ones(y.shape, bool)
     on[1, -3:] = False
-    _, grad, _ = m.gradient(x, seen, y, on)
+    _, grad, _ = m.gradient(x, y, on)
     for name in ("e", "e2", "q", "k", "v", "o", "w1", "w2", "g", "pos"):
         i = tuple(n // 2 for n in m.p[name].shape) if name not in ("e", "e2") else (int(x[1, 20]), 2)
         loss = []
         for step in (1e-4, -2e-4):
             m.p[name][i] += step
-            loss.append(m.gradient(x, seen, y, on)[0])
+            loss.append(m.gradient(x, y, on)[0])
         m.p[name][i] += 1e-4
         assert abs((loss[0] - loss[1]) / 2e-4 - grad[name][i]) < 1e-4 + 0.02 * abs(grad[name][i]), name
+    assert np.allclose(lm_scoring.CAUSAL[0, lm_scoring.WINDOW - lm_scoring.SCORED + 1 :], -1e9)  # no position sees what comes
 
 
-def test_every_subword_is_scored_once_and_sums_to_one():
-    lengths = np.array([1, 24, 25, 100])
-    place, seen, on = lm_scoring.windows(np.cumsum(lengths) - lengths, lengths)
-    scored = place[:, lm_scoring.WINDOW - lm_scoring.SCORED :][on]
-    assert sorted(scored.tolist()) == list(range(150))
-    encoder = lm_scoring.Encoder.load(lm_scoring.default_tokenizer())
-    counts = np.zeros(encoder.size)
-    counts[:300] = 5
-    m = lm_scoring.train(["the cat sat on the mat and the dog", "a b c"] * 3, counts, encoder, epochs=2)
-    g, _ = m.forward(place[:1] * 0, seen[:1] | True)
-    each = np.bincount(m.rows, minlength=len(m.table))
-    assert np.allclose((g @ (m.table * each[:, None]).T).sum(-1), 1, atol=1e-3)
+def test_every_subword_is_scored_once(corpus):
+    words = lm_scoring.Words({}, lm_scoring.default_tokenizer())
+    texts = [lm_scoring.words_of(t) for t in [None, "a", *list(corpus.values())[:20]]]
+    tokens = np.array([len(t) + 1 for t in texts])
+    laid = lm_scoring.Laid.of(words, words.slots(texts), tokens)
+    ids = [[i for w in t for i in words.encoder.word(w)] + [words.encoder.end] for t in texts]
+    assert sorted(laid.place.tolist()) == laid.place.tolist() and len(set(laid.place.tolist())) == len(laid.place) == sum(map(len, ids)) == laid.on().sum()
+    assert laid.targets.ravel()[laid.place].tolist() == sum(ids, [])
+    x, y = laid.windows(slice(None))
+    lead = lm_scoring.WINDOW - lm_scoring.SCORED
+    assert (x[:, lead + 1 :][laid.on()[:, 1:]] == y[:, :-1][laid.on()[:, 1:]]).all()  # the input is the id before
+    at = np.flatnonzero(laid.place % lm_scoring.SCORED == 0)
+    assert [x[laid.place[i] // lm_scoring.SCORED, lead] for i in at] == [sum(ids, [])[i - 1] if i not in np.cumsum([0, *map(len, ids)]) else words.encoder.end for i in at]
 
 
-def test_base_score_is_exact(spark, corpus, awkward, nothing, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 300)  # most words go through the join
-    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 20)
-    d = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
-    out = lm_scoring.score_documents(d, "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1").collect()
+@pytest.fixture(scope="module")
+def scored(spark, corpus):
+    """Scores of the corpus, and the model and the corpus's statistics that gave them."""
+    kept = []
+    real = lm_scoring.observe
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm_scoring, "SAMPLE_ROWS", 40)
+        m.setattr(lm_scoring, "HEAD_WORDS", 300)  # most words go through their own bucket
+        m.setattr(lm_scoring, "observe", lambda *a: kept.append((a[1], *real(*a))) or kept[-1][1:])
+        d = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+        out = lm_scoring.score_documents(d, HELD).collect()
+    return out, kept[0]
+
+
+def test_base_score_is_exact(corpus, scored):
     words = {i: [*WORD.findall(lower(t)), None] for i, t in corpus.items()}
     c = collections.Counter(w for i, x in words.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
     n, v = sum(c.values()), len(c)
-    for r in out:
+    assert sorted(r["doc_id"] for r in scored[0]) == sorted(corpus)
+    for r in scored[0]:
         x = words[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(x), sum(w in c for w in x), n)
-        assert abs(r["base_score"] - sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)) < 1e-6 * abs(r["base_score"]) and r["score"] < 0
-    odd = lm_scoring.score_documents(awkward, "doc_id = 3").collect()
-    assert len(odd) == 11 and {r["n_tokens"] for r in odd if r["doc_id"] in (1, 2, 6)} == {1}
-    assert lm_scoring.score_documents(nothing, "false").count() == 0
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(x), sum(w in c for w in x), n, zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+        assert abs(r["base_score"] - sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)) < 1e-6 * abs(r["base_score"])
+
+
+def test_scores_against_brute_force(corpus, scored):
+    """Every word by dictionaries of contexts: attention and unigram for what the discounted counts of other rows leave."""
+    out, (head, stats, model) = scored
+    words = lm_scoring.Words(head, lm_scoring.default_tokenizer())
+    poster = lm_scoring.Poster(model, words, stats)
+    texts = {i: lm_scoring.words_of(t) for i, t in corpus.items()}
+    grams = {i: [(tuple(x), w) for w, *x in zip([*t, b""], [None, *t], [None, None, *t], [None, None, None, *t])] for i, t in texts.items()}
+    teach = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
+    use, kinds = collections.Counter(), collections.defaultdict(collections.Counter)
+    for i in teach:
+        for h, w in grams[i]:
+            kinds[h][w] += 1
+            use[h] += 1
+    count = collections.Counter(w for i in teach for w in [*texts[i], b""])
+    assert not len(stats.common) and stats.tokens == sum(count.values()) and stats.ends == len(teach)
+    got = {r["doc_id"]: r["score"] for r in out}
+    for i, t in texts.items():
+        slots = words.slots([t])
+        score, known = poster.word_scores(slots, np.array([len(t) + 1]))
+        own = collections.Counter(grams[i]) if i in teach else {}
+        mine = collections.Counter(h for h, _ in grams[i]) if i in teach else {}
+        total = 0.0
+        for (h, w), s, k in zip(grams[i], score, known):
+            p = 10**s + (0 if k else lm_scoring.UNIGRAM_WEIGHT * count[w] / stats.tokens)
+            n = use[h] - mine.get(h, 0)
+            if n:
+                m = kinds[h][w] - own.get((h, w), 0)
+                left = sum(v > own.get((h, x), 0) for x, v in kinds[h].items())
+                p = max(m - lm_scoring.DISCOUNT, 0) / n + lm_scoring.DISCOUNT * left / n * p
+            total += np.log10(p)
+        assert abs(total - got[i]) < 0.002 * len(t) ** 0.5 + 1e-4 * abs(total) + 0.002, i
+
+
+def test_words_share_a_mass_of_one(corpus, scored):
+    """After a text's beginning, all words and the end together have a probability of 1 at most; an early word takes no part of a longer one."""
+    _, (head, stats, model) = scored
+    words = lm_scoring.Words(head, lm_scoring.default_tokenizer())
+    poster = lm_scoring.Poster(model, words, stats)
+    begin = lm_scoring.words_of(next(t for t in corpus.values() if t and len(t) > 500))[:7]
+    pieces = [words.encoder.encoding.decode_bytes([i]).strip() for i in range(0, 50000, 9)]
+    tried = list(dict.fromkeys([w for t in corpus.values() for w in lm_scoring.words_of(t)] + [w for w in (p.lower() for p in pieces) if w and len(w.split()) == 1]))
+    texts = [[*begin, w] for w in tried] + [begin]
+    tokens = np.array([len(t) + 1 for t in texts])
+    score, _ = poster.word_scores(words.slots(texts), tokens)
+    mass = (10 ** score[np.cumsum(tokens) - 2][:-1]).sum() + 10 ** score[-1]
+    rare = lm_scoring.UNIGRAM_WEIGHT * (1 - (stats.counts.sum() + stats.ends) / stats.tokens)
+    assert 0.3 < mass < 1 - rare + 1e-6
+
+
+def test_memory_leaves_out_a_rows_own_words():
+    rng = random.Random(5)
+    n = 400
+    h, w, doc = ([rng.randrange(k) for _ in range(n)] for k in (12, 4, 30))
+    teach = [d % 4 != 1 for d in doc]
+    order = sorted(range(n), key=lambda i: doc[i])
+    h, w, doc, teach = ([x[i] for i in order] for x in (h, w, doc, teach))
+    key = (np.array(h, np.uint64) << np.uint64(24)) | np.array(w, np.uint64)
+    mem, left = lm_scoring.remembered(key, np.array(teach), np.array(doc))
+    for i in range(n):
+        others = collections.Counter(w[j] for j in range(n) if h[j] == h[i] and teach[j] and not (teach[i] and doc[j] == doc[i]))
+        total = sum(others.values())
+        want = (max(others[w[i]] - 0.75, 0) / total, 0.75 * len(others) / total) if total else (0, 1)
+        assert np.allclose((mem[i], left[i]), want)
+    assert lm_scoring.remembered(key[:0], np.zeros(0, bool), np.zeros(0, int))[0].size == 0
+
+
+def test_tables_learn_from_every_training_row(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 1)
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 2)
+    monkeypatch.setattr(lm_scoring, "COMMON_LEAST", 8)
+    kept = []
+    real = lm_scoring.observe
+    monkeypatch.setattr(lm_scoring, "observe", lambda *a: kept.append((a[0], a[1], *real(*a))) or kept[-1][2:])
+    rows = [(i, "the cat sat on the mat " * 40 if i % 2 else "red green blue " * 40) for i in range(400)]
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id >= 380").collect()
+    before, head, stats, model = kept[0]
+    encoder = lm_scoring.Encoder.load(lm_scoring.default_tokenizer())
+    ids = collections.Counter(i for k, t in rows if k < 380 for w in lm_scoring.words_of(t) for i in encoder.word(w))
+    ids[encoder.end] = 380
+    u = np.array([ids[i] + 0.01 for i in range(encoder.size)])
+    assert np.allclose(model.shares, u / u.sum()) and np.allclose(model.table.sum(0), 1, atol=1e-3)
+    assert (stats.tokens, stats.ends) == (190 * 241 + 190 * 121, 380) and len(head) == 2
+    assert len(stats.common) and not np.allclose(before.table, model.table, atol=0.01)  # hot contexts have no bucket
+    assert all(-3 * r["n_tokens"] < r["score"] < 0 for r in out)
 
 
-def test_words_beyond_the_head_have_their_unigram_share(spark, corpus, monkeypatch):
+def test_scores_on_awkward_rows(spark, awkward, nothing, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 20)
-    d = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
-    held = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"
-    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, held).collect()}
-    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 300)
-    assert all(abs(r["score"] - whole[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in lm_scoring.score_documents(d, held).collect())
-
-
-def test_table_learns_from_every_training_row(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 1)
-    rows = [(i, "the cat sat on the mat " * 4 if i % 2 else "red green blue " * 8) for i in range(400)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    models = []
-    real = lm_scoring.relearn
-
-    def seen(model, teach, path):
-        before = model.table.copy()
-        real(model, teach, path)
-        models.append((model, before))
-
-    monkeypatch.setattr(lm_scoring, "relearn", seen)
-    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, "doc_id >= 380").collect()}
-    model, before = models[0]
-    # as one task over all rows, and unlike what the one sampled span said
-    scorer = lm_scoring.Scorer(lm_scoring.Model(model.p, before, model.rows, model.shares), {}, 0, lm_scoring.default_tokenizer())
-    counts = 1e-3 * model.shares[:, None] * np.ones((1, lm_scoring.EXPERTS))
-    scorer.expect([lm_scoring.words_of(t) for i, t in rows if i < 380], counts)
-    n = sum(len(scorer.encoder.word(w)) for i, t in rows if i < 380 for w in lm_scoring.words_of(t)) + 380
-    assert abs(counts.sum() - n) < 1
-    scorer.model.settle(counts)
-    assert np.allclose(scorer.model.table, model.table, atol=1e-4) and not np.allclose(before, model.table, atol=0.01)
-    assert min(out.values()) > -40
+    odd = lm_scoring.score_documents(awkward, "doc_id = 3").collect()
+    assert len(odd) == 11 and {r["n_tokens"] for r in odd if r["doc_id"] in (1, 2, 6)} == {1}
+    assert {r["held_out"] for r in odd if r["doc_id"] is None} == {False} and all(r["score"] < 0 and r["base_score"] < 0 for r in odd)
+    assert lm_scoring.score_documents(nothing, "false").count() == 0
+    alone = lm_scoring.score_documents(awkward, "true").collect()  # nothing to learn from
+    assert {r["train_tokens"] for r in alone} == {0} and len(alone) == 11
 
 
 # ---- pipeline and SQL ----------------------------------------------------------------------------------------------
@@ -491,5 +563,5 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_registered():
-    names = list(__spark_entry__.queries())
+    names = list(__spark_entried_.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
