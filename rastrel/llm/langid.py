@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +22,8 @@ CHUNK = 128
 #: Chunks that run side by side.
 LANES = 1_024
 HIDDEN = 8
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its category; of what Python counts as a word's character without digits, numbers like a half are none.
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 

@@ -15,13 +15,13 @@ from .common import grouped, staged
 from .graph import components
 
 #: Signature coordinates; counters a coordinate in the frequency sketch; members that a list's block holds, about.
-COORDINATES, SKETCH, BLOCK = 64, 4_096, 4_096
-WORD_CACHE = 500_000
+COORDINATES, SKETCH, BLOCK = 64, 4_096, 1_024
+#: Posted rows of a batch; rows of a tile of compared members; share of all rows from which a class is broadcast.
+POSTED_ROWS, TILE, HOT_SHARE = 1 << 15, 512, 1 / 1_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _seeds = np.random.default_rng(64)
 MULTIPLY = _seeds.integers(1, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 ADD = _seeds.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
-_words: dict[bytes, int] = {}
 
 
 def least_matches(num: int, den: int, coordinates: int = COORDINATES) -> int:
@@ -35,14 +35,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # A-Z only; the six white-space bytes only
     if not words:
         return np.zeros(0, np.uint64)
-    found = [_words.get(w) for w in words]
-    if None in found:
-        if len(_words) > WORD_CACHE:
-            _words.clear()
-        for i, x in enumerate(found):
-            if x is None:
-                found[i] = _words[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    h = np.array(found, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     out = np.full(n, min(len(h), k), np.uint64)
     for i in range(min(k, len(h))):
@@ -125,11 +118,13 @@ def _posted(sketch, prefix: int, members: int):
                 own = (node[row].astype(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % blocks
                 copies = np.repeat(np.arange(len(row)), blocks)
                 other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                own, row, token = own[copies], row[copies], token[copies]
-                block = np.minimum(own, other) * (1 << 24) + np.maximum(own, other)
-                small = (sig >> np.uint32(3)).astype(np.uint8)
+                weight, small = np.asarray(some.column(1)), (sig >> np.uint32(3)).astype(np.uint8)
                 raw = [x.tobytes() for x in small]
-                yield _record("token block node weight sig", [pa.int64()] * 4 + [pa.binary()], [token, block, node[row], np.asarray(some.column(1))[row], [raw[i] for i in row]])
+                for at in range(0, len(copies), POSTED_ROWS):
+                    some_copies = copies[at : at + POSTED_ROWS]
+                    a, b, r = own[some_copies], other[at : at + POSTED_ROWS], row[some_copies]
+                    block = np.minimum(a, b) * (1 << 24) + np.maximum(a, b)
+                    yield _record("token block node weight sig", [pa.int64()] * 4 + [pa.binary()], [token[some_copies], block, node[r], weight[r], [raw[i] for i in r.tolist()]])
 
     return run
 
@@ -214,15 +209,8 @@ def _linked(num: int, den: int):
             column = np.cumsum(np.bincount(which[shared], minlength=len(often)) > 0) - 1
             cols, rows = column[which[shared]], (np.cumsum(keep) - 1)[owner[shared]]
             node, comp, size = node[keep], comp[keep], size[keep]
-            both = np.zeros((len(node), len(node)), np.float32)
             order = np.argsort(cols, kind="stable")
             cols, rows = cols[order], rows[order]
-            for at in range(0, int(cols[-1]) + 1, 512):
-                lo, hi = np.searchsorted(cols, (at, at + 512))
-                part = np.zeros((len(node), 512), np.float32)
-                part[rows[lo:hi], cols[lo:hi] - at] = 1
-                both += part @ part.T
-            links = (den * both >= num * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :])
             a, b = [], []
             root = {c: c for c in comp.tolist()}
 
@@ -231,12 +219,22 @@ def _linked(num: int, den: int):
                     root[c] = c = root[root[c]]
                 return c
 
-            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(links))), strict=True):
-                p, q = find(int(comp[i])), find(int(comp[j]))
-                if p != q:
-                    root[p] = q
-                    a.append(int(node[i]))
-                    b.append(int(node[j]))
+            for top in range(0, len(node), TILE):  # rows of a tile against those from it on
+                end = min(top + TILE, len(node))
+                both = np.zeros((end - top, len(node) - top), np.float32)
+                for at in range(0, int(cols[-1]) + 1, 512):
+                    lo, hi = np.searchsorted(cols, (at, at + 512))
+                    mine = rows[lo:hi] >= top
+                    part = np.zeros((len(node) - top, 512), np.float32)
+                    part[rows[lo:hi][mine] - top, cols[lo:hi][mine] - at] = 1
+                    both += part[: end - top] @ part.T
+                links = (den * both >= num * (size[top:end, None] + size[None, top:] - both)) & (comp[top:end, None] != comp[None, top:])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(links))), strict=True):
+                    p, q = find(int(comp[top + i])), find(int(comp[top + j]))
+                    if p != q:
+                        root[p] = q
+                        a.append(int(node[top + i]))
+                        b.append(int(node[top + j]))
             if a:
                 yield _record("a b", [pa.int64()] * 2, [a, b])
 
@@ -293,6 +291,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # what the stars joined is already one node of the graph that the rest is added to
     found = components(stars.unionByName(rest))
 
-    classes = classes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(classes, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = staged(classes.join(found, "node", "left").select("k1", "k2", "weight", F.coalesce("component", "node").alias("component_id")), "near-named")
+    # a class of many copies isn't dealt by its key: no more than 1 / HOT_SHARE of them are broadcast
+    total = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    hot = F.col("weight") >= max(2, int(total * HOT_SHARE))
+    key, each = ["k1", "k2"], rows.select("doc_id", "n", "k1", "k2")
+    many = F.broadcast(classes.where(hot).select(*key, F.col("component_id").alias("_hot"), F.lit(True).alias("_many")))
+    marked = each.join(many, key, "left")
+    apart = marked.where("_many or n = 0").select("doc_id", "n", F.col("_hot").alias("component_id"))
+    dealt = marked.where("_many is null and n > 0").drop("_hot", "_many").join(classes.where(~hot).select(*key, "component_id"), key, "left").select("doc_id", "n", "component_id")
+    out = apart.unionByName(dealt).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

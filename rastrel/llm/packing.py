@@ -43,6 +43,7 @@ def _tokenised(path: str, end_id: int):
                 at += int(n.sum())
                 small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if subwords.narrow else ids
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), some.column(0), pa.array(n), pa.array(small, pa.binary())], ["part", "first", "doc_id", "doc_tokens", "ids"])
+        subwords.release()
 
     return run
 

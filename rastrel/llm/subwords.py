@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words and word pieces that a worker keeps, at most; the cache starts anew beyond.
-CACHE = 1_200_000
+CACHE = 300_000
 #: Texts with other characters, or with what looks like a special token, go to the tokenizer itself.
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧]|<\\|")
 # Fixed value: the pattern that cuts a text into pieces in the file with word ends.
@@ -72,6 +72,10 @@ class Subwords:
             if len(pieces) != 1:
                 cache[word] = b"".join([cache[p] for p in pieces])
 
+    def release(self) -> None:
+        """Forget the words: a worker that is used again for other work doesn't keep them."""
+        self.cache.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
         if not self.words:
