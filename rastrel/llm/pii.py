@@ -10,6 +10,8 @@ from .common import let
 ROUNDS = 8
 #: Dates are permuted among this many days (340 x 215) from FIRST_DAY on; dates outside stay as they are.
 FIRST_DAY, DAY_HALVES = "1900-01-01", (340, 215)
+#: Steps over dates of the wrong form, two in five, at most.
+WALKS = 80
 
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {
@@ -41,7 +43,8 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])(?:1 )?[2-9]\d{2} [2-9]\d{2}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d(?:(?:[ .-]" + OTHER + r")?\(?\d\)?){7,14}(?!\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|\.\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Secrets come first, in a group of their own: what stands where a secret does is one, whatever it looks like.
+ANY = "|".join([f"({PATTERNS['secret']})", *(f"(?:{p})" for k, p in PATTERNS.items() if k != "secret")])
 
 
 def feistel(x: Column, size_x: Column, y: Column, size_y: Column, key: str, kind: str) -> Column:
@@ -101,11 +104,10 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The ten national digits, or those after the first two of an international number; after the first of another +1."""
+    """The ten national digits, with or without +1 before them, or those after the first two of another international number."""
 
     def made(d):
-        plain = ~m.contains("-") & ~m.contains(" ") & ~m.contains("(") & ~m.contains(".")
-        n = F.when(m.startswith("+") & (plain | ~m.startswith("+1")), F.length(d) - 2).when(m.startswith("+"), F.least(F.lit(10), F.length(d) - 1)).otherwise(F.lit(10))
+        n = F.when(m.startswith("+") & ~(m.startswith("+1") & (F.length(d) == 11)), F.length(d) - 2).otherwise(F.lit(10))
         return let(n, lambda k: _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - k), _permute_digits(F.substr(d, F.length(d) - k + 1, k), key, "phone"))))
 
     return let(_digits(m), made)
@@ -144,8 +146,16 @@ def _date(m: Column, key: str) -> Column:
         day = F.datediff(F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY)))
         a, b = DAY_HALVES
 
+        def day_of(n):
+            return F.date_add(F.to_date(F.lit(FIRST_DAY)), n.cast("int"))
+
+        def walk(s, i):
+            """A date that is read as day first for its day over 12 becomes another such: others are walked over."""
+            moved = let(feistel(F.floor(s["n"] / b), F.lit(a), s["n"] % b, F.lit(b), key, "date"), lambda z: z["x"] * b + z["y"])
+            return F.when(s["done"], s).otherwise(let(moved, lambda v: F.struct(v.alias("n"), ((f != "dd/MM/yyyy") | (F.dayofmonth(day_of(v)) > 12)).alias("done"))))
+
         def made(n):
-            back = let(feistel(F.floor(n / b), F.lit(a), n % b, F.lit(b), key, "date"), lambda s: F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["x"] * b + s["y"]).cast("int")))
+            back = day_of(F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), F.struct(n.cast("long").alias("n"), F.lit(False).alias("done")), walk)["n"])
             text = let(back, lambda t: F.when(f == "yyyy-MM-dd", F.date_format(t, "yyyy-MM-dd")).when(f == "dd.MM.yyyy", F.date_format(t, "dd.MM.yyyy")).when(f == "dd/MM/yyyy", F.date_format(t, "dd/MM/yyyy")).otherwise(F.date_format(t, "MM/dd/yyyy")))
             return F.when((n >= 0) & (n < a * b), text)
 
@@ -208,11 +218,12 @@ def _hashed(m: Column, key: str, kind: str, n) -> Column:
     return F.substr(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), m).cast("binary"), 256), F.lit(8)), F.lit(1), n)
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """Replacement of one match; null where it isn't valid, so it stays."""
+def pseudonym(m: Column, secret: Column, key: str) -> Column:
+    """Replacement of one match; null where it isn't valid, so it stays. `secret`: it stands where a secret does."""
     is_ = lambda k: F.regexp_like(m, F.lit(rf"^(?:{PATTERNS[k]})$"))
     return (
-        F.when(m.contains("@"), F.concat(F.lit("u"), _hashed(m, key, "email", F.lit(14)), F.lit("@example.org")))
+        F.when(secret, _hashed(m, key, "secret", F.least(F.length(m), F.lit(512))))
+        .when(m.contains("@"), F.concat(F.lit("u"), _hashed(m, key, "email", F.lit(14)), F.lit("@example.org")))
         .when(is_("key"), F.concat(F.lit("AKIA"), F.upper(_hashed(m, key, "key", F.lit(16)))))
         .when(is_("iban"), _iban(m, key))
         .when(is_("date"), _date(m, key))
@@ -220,7 +231,6 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(is_("ssn"), _ssn(m, key))
         .when(is_("phone"), _phone(m, key))
         .when(is_("card"), _card(m, key))
-        .otherwise(_hashed(m, key, "secret", F.least(F.length(m), F.lit(512))))
     )
 
 
@@ -233,21 +243,26 @@ def replace_private(text: Column, key: str) -> Column:
             whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.get(found, i), F.lit("")))), "")
             return F.struct(whole.alias("text"), F.size(F.filter(new, lambda x: x.isNotNull())).cast("long").alias("n"))
 
-        return F.when(F.size(found) > 0, let(F.transform(found, lambda m: pseudonym(m, key)), made)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+        secrets = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(1)), lambda x: x != "")
+        return F.when(F.size(found) > 0, let(let(secrets, lambda on: F.transform(found, lambda m, i: pseudonym(m, F.get(on, i), key))), made)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
     return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), rebuilt)
 
 
-def pseudonymise(docs: DataFrame, key: str = "a key from the caller's secret store") -> DataFrame:
-    """`docs` with `text` replaced and n_private added; every other column stays.
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with `text` replaced and n_private added; every other column stays. `key` is the caller's secret.
 
     Cards (Luhn), IBANs (modulo 97), dates, IPv4 addresses, social security and phone numbers are permuted by a
     keyed Feistel network within their own format, so equal values get equal pseudonyms in all documents and
     unlike values unlike ones. E-mail addresses and secrets have no finite format; they get keyed hashes of
-    their form. Numbers that fail validation stay. Null text stays null (n_private 0); empty, very long and
-    repeated texts are treated alike; an empty table gives no rows.
+    their form; what stands where a secret does is one, also if it looks like a number. Numbers that fail
+    validation stay. Null text stays null (n_private 0); empty, very long and repeated texts are treated alike;
+    an empty table gives no rows; a column n_private that is there already is replaced.
     """
     found = F.when(F.col("text").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(replace_private(F.col("text"), key))
-    others = [F.col(f"`{c}`") for c in docs.columns]
-    made = docs.select(*others, found.alias("_private"))
-    return made.select(*[F.col("_private.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_private.n").alias("n_private"))
+    kept = [c for c in docs.columns if c.lower() != "n_private"]
+    own = "_private"
+    while own in [c.lower() for c in kept]:
+        own += "_"
+    made = docs.select(*[F.col(f"`{c}`") for c in kept], found.alias(own))
+    return made.select(*[F.col(f"{own}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], F.col(f"{own}.n").alias("n_private"))

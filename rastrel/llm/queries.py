@@ -9,6 +9,10 @@ from . import chat, fingerprints, langid, lm_scoring, mixing, near_dedup, packin
 from .common import table
 
 
+#: Setting that holds the secret of the pseudonyms.
+PII_KEY = "spark.rastrel.pii.key"
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -19,13 +23,14 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    pair = F.array(*[F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(r).alias("role"), F.lit(SAID).alias("text")) for i, r in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(pair))
+    extra = extra.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema])
     return chat.digest(rows.unionByName(extra))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, "a key for synthetic tables"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     values = {"4111 1111 1111 1111": "card", "378282246310005": "card", "192.168.0.1": "ip", "2024-02-29": "date", "31.12.1999": "date", "+1 (319) 555-5132": "phone", "DE89 3704 0044 0532 0130 00": "iban", "078-05-1120": "ssn", "jo.doe@mail.example.com": "email"}
     stay = ["4111 1111 1111 1112", "999.1.1.1", "2023-02-29", "1.2.3.4.5", "000-12-3456", "version 2.0", "DE88370400440532013000"]
     rows = [(i, f"See {v}, then again {v}. Bye") for i, v in enumerate(values)] + [(100 + i, f"keep {v} here") for i, v in enumerate(stay)]
-    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for i, (v, kind) in enumerate(values.items()):
         a, b = re.fullmatch(r"See (.*), then again (.*)\. Bye", out[i]["text"]).groups()
         assert a == b != v and out[i]["n_private"] == 2, v
@@ -193,7 +193,7 @@ def test_pseudonyms_of_lettered_ibans_and_spaced_phones(spark):
     phones = ["+44 20 7946 0958", "+49 30 901820", "+1 319 555 5132", "319 555 5132", "+44.20.7946.0958", "+442079460958", "+49 30 901820 2024-02-29"]
     stay = ["GB83WEST12345698765432", "120 130 1400", "+12 34"]
     rows = list(enumerate(f"See {v} here" for v in [*ibans, *phones, *stay]))
-    out = [r["text"][4:-5] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r["text"][4:-5] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     form = lambda v: re.sub("[A-Z]", "A", re.sub(r"\d", "0", v))
     for v, a in zip([*ibans, *phones], out):
         assert a != v and form(a) == form(v), (v, a)
@@ -204,6 +204,31 @@ def test_pseudonyms_of_lettered_ibans_and_spaced_phones(spark):
     assert out[6].startswith("+44 ") and out[len(ibans) + len(phones) :] == stay
 
 
+def test_what_stands_for_a_secret_is_hashed(spark):
+    secrets = ["password=1234567890123", "secret=2024-13-45", "password=999.1.1.1", "api_key=000-12-3456", "secret=jo@mail.example.com", 'token = "4111111111111111', "password=DE89370400440532013000", "api_key=+1 x"]
+    d = spark.createDataFrame(list(enumerate(f"set {v}\" now" for v in secrets)), "doc_id long, text string")
+    out = [r for r in pii.pseudonymise(d, "k").orderBy("doc_id").collect()]
+    for v, r in zip(secrets[:-1], out):
+        name, value = re.match(r"(.*?= ?\"?)(.*)", v).groups()
+        new = re.fullmatch(re.escape("set " + name) + r"([0-9a-f]+)\" now", r["text"])[1]
+        assert r["n_private"] == 1 and len(new) == len(value) and new != value, v
+    assert out[-1]["n_private"] == 0  # too short for a secret
+    other = pii.pseudonymise(d, "another").orderBy("doc_id").first()
+    assert other["text"] != out[0]["text"]
+
+
+def test_pseudonyms_link_forms_and_never_collide(spark):
+    one = ["+15551234567", "(555) 123-4567", "555-123-4567", "+1 555 123 4567", "1 555 223 4567"]
+    out = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(one)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    ten = [re.sub(r"\D", "", t)[-10:] for t in out]
+    assert len(set(ten[:4])) == 1 and ten[4] != ten[0]
+    for form, step in (("MM/dd/yyyy", 7), ("dd/MM/yyyy", 7), ("dd.MM.yyyy", 11), ("yyyy-MM-dd", 11)):
+        days = spark.range(0, 73_000, step).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.to_date(F.lit("1900-01-01")), F.col("id").cast("int")), form).alias("text"))
+        made = pii.pseudonymise(days, "k").join(days.withColumnRenamed("text", "old"), "doc_id").collect()
+        read = lambda t: ("d" if int(t[:2]) > 12 else "m") if "/" in t else ""
+        assert len({r["text"] for r in made}) == len({r["old"] for r in made}) and all(read(r["text"]) == read(r["old"]) and r["n_private"] == 1 for r in made), form
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(17 * 23).select(pii.feistel(F.col("id") % 17, F.lit(17), F.floor(F.col("id") / 17), F.lit(23), "k", "t").alias("s"))
     got = {(r["s"]["x"], r["s"]["y"]) for r in d.collect()}
@@ -211,9 +236,10 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_pseudonyms_on_awkward_rows(awkward, nothing):
-    out = pii.pseudonymise(awkward)
-    assert out.columns == [*awkward.columns, "n_private"] and out.count() == 11
-    assert out.where("doc_id = 1 and text is null and n_private = 0").count() == 1 and pii.pseudonymise(nothing).count() == 0
+    out = pii.pseudonymise(awkward.withColumn("_private", F.lit(1)), "k")
+    again = pii.pseudonymise(out, "k")
+    assert out.columns == [*awkward.columns, "_private", "n_private"] == again.columns and again.count() == out.count() == 11
+    assert out.where("doc_id = 1 and text is null and n_private = 0").count() == 1 and pii.pseudonymise(nothing, "k").count() == 0
 
 
 # ---- 7 -------------------------------------------------------------------------------------------------------------
