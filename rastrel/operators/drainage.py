@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import staged, unstage
 
 MAX_ROUNDS = 32
 
@@ -16,27 +17,36 @@ def accumulate(nodes: DataFrame, weights: Sequence[str]) -> DataFrame:
     """id, ptr, root and, for each weight w, acc_w: its sum over the cell and all cells that drain through it.
 
     After k rounds a cell's sum covers what lies less than 2**k steps upstream, and its pointer has jumped as far
-    downstream. A round is one aggregate and one self-join; all weights and the roots share it. Null weights
-    count as 0. A cycle can't settle and raises.
+    downstream. A cell whose pointer has passed its end is settled and takes no part in later rounds: others look
+    up its root, and what they add to it is kept apart until one aggregate at the end. All weights and the roots
+    share the rounds. Null weights count as 0. A cycle can't settle and raises.
     """
     sums = [f"acc_{w}" for w in weights]
-    state = nodes.select("id", F.col("ptr").alias("next"), F.coalesce("ptr", "id").alias("root"), *[F.coalesce(F.col(w).cast("double"), F.lit(0.0)).alias(s) for w, s in zip(weights, sums, strict=True)])
-    state = staged(state, "drainage")
+    start = nodes.select("id", "ptr", F.col("ptr").alias("next"), F.coalesce("ptr", "id").alias("root"), *[F.coalesce(F.col(w).cast("double"), F.lit(0.0)).alias(s) for w, s in zip(weights, sums, strict=True)])
+    parts = [staged(start, "drainage")]
     for _ in range(MAX_ROUNDS):
-        moving = state.where("next is not null")
+        moving = parts[-1].where("next is not null")
         if moving.isEmpty():
             break
+        settled = _settled(parts).where("root is not null").select(F.col("id").alias("next"), F.lit(None).cast("long").alias("_next"), F.col("root").alias("_root"))
+        ahead = moving.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("root").alias("_root")).unionByName(settled)
         gained = moving.groupBy(F.col("next").alias("id")).agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("root").alias("_root"))
-        state = (
-            state.join(gained, "id", "left")
-            .join(ahead, "next", "left")
-            .select("id", F.col("_next").alias("next"), F.coalesce("_root", "root").alias("root"), *[(F.col(s) + F.coalesce(F.col(f"_{s}"), F.lit(0.0))).alias(s) for s in sums])
-        )
-        state = staged(state, "drainage")
+        more = [(F.col(s) + F.coalesce(F.col(f"_{s}"), F.lit(0.0))).alias(s) for s in sums]
+        jumped = moving.join(gained, "id", "left").join(ahead, "next").select("id", "ptr", F.col("_next").alias("next"), F.col("_root").alias("root"), *more)
+        none = F.lit(None).cast("long")
+        late = gained.join(moving.select("id"), "id", "left_anti").select("id", none.alias("ptr"), none.alias("next"), none.alias("root"), *[F.col(f"_{s}").alias(s) for s in sums])
+        parts.append(staged(jumped.unionByName(late), "drainage"))
     else:
         raise ValueError("the drainage graph has a cycle")
-    return state.drop("next").join(nodes.select("id", "ptr"), "id")
+    out = _settled(parts).groupBy("id").agg(F.max("ptr").alias("ptr"), F.max("root").alias("root"), *[F.sum(s).alias(s) for s in sums])
+    out = staged(out, "drained")
+    unstage(*parts)
+    return out
+
+
+def _settled(parts: Sequence[DataFrame]) -> DataFrame:
+    """Settled cells of all rounds, and what came late for them (without a root)."""
+    return reduce(DataFrame.unionByName, [p.where("next is null") for p in parts])
 
 
 def unit_labels(cells: DataFrame) -> DataFrame:

@@ -45,18 +45,45 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one, for local masters only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="staging-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    `instead_of`: a staged table that nothing else reads; it is deleted once the new one is there.
+    """
     path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    if instead_of is not None:
+        unstage(instead_of)
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; other tables and None are left alone."""
+    for t in tables:
+        if path := getattr(t, "_staged", None):
+            _delete(t.sparkSession, path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Results that were not yet written or collected can't be read then."""
+    _delete(spark, staging_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
