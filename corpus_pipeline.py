@@ -1,4 +1,8 @@
-"""Corpus pipeline: language ID, near-duplicate removal, pseudonyms, source mixing, packing; each stage's rows are the next one's."""
+"""Corpus pipeline: language ID, near-duplicate removal, pseudonyms, source mixing, packing; each stage's rows are the next one's.
+
+All stages read the columns of documents and ignore others, whatever their names; null columns, empty and very long
+texts are rows like others unless a stage says what becomes of them; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,17 @@ from pyspark.sql import functions as F
 from rastrel.llm import langid, mixing, near_dedup, packing, pii
 from rastrel.llm.common import staged
 
+#: Setting that holds the secret of the pseudonyms.
+PII_KEY = "spark.rastrel.pii.key"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (`und`); `lang` becomes the prediction."""
+    """Rejects null texts and texts without a letter (`und`); `lang` becomes the prediction. Repeated rows all stay.
+
+    Where no row has both text and lang, nothing can be learnt and every row is rejected.
+    """
+    docs = docs.select(COLUMNS)
     net = langid.train(docs)
     found = langid.identify(docs, net, keep=("doc_id", "source", "n_chars"), give_text=True).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -22,9 +32,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps one row of each group of texts: five words, similarity of 0.8 or more.
 
     Groups are of texts, which a hash names, not of doc_ids: so repeated rows and null doc_ids count as copies, and
-    another text of the same doc_id doesn't. The smallest doc_id stays (null last); a text without a word is alone.
+    another text of the same doc_id doesn't. The smallest doc_id stays (null last); a text without a word is alone,
+    but of repeated rows of it, with one doc_id, one stays.
     """
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_no", F.col("doc_id").isNull()).withColumn("_i", F.coalesce("doc_id", F.lit(0)))
+    rows = docs.select(COLUMNS).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_no", F.col("doc_id").isNull()).withColumn("_i", F.coalesce("doc_id", F.lit(0)))
     key = ["_h", "_no", "_i"]
     found = near_dedup.near_duplicates(rows.select(F.col("_h").alias("doc_id"), "text"), k=5, num=80, den=100)
     linked = staged(found.where("n_shingles > 0").select(F.col("doc_id").alias("_h"), "component_id").distinct(), "pipeline-groups")
@@ -39,24 +50,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms in every text; n_chars follows."""
-    return pii.pseudonymise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Pseudonyms in every text; n_chars follows. Every row stays; null text stays null (n_chars null)."""
+    return pii.pseudonymise(docs.select(COLUMNS), spark.conf.get(PII_KEY, "a key for synthetic tables")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each leaf's documents as often as its budget asks for; the last document of a prefix stays whole."""
+    """Each leaf's documents as often as its budget asks for; the last document of a prefix stays whole.
+
+    Null lang or source become ''; rows of equal doc_id are separate documents, in order of their texts.
+    """
     return mixing.mix(docs, keep=("text", "lang", "source", "n_chars")).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 4096 tokens."""
+    """Pieces of windows of 4096 tokens; a null or empty text is the end token alone."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("mixing", mix_sources), ("packing", pack_tokens)]
 
-#: Neither a trained network nor a tokenizer can be said in SQL; tests hold each stage against a brute-force version.
+#: Neither a trained network nor a tokenizer can be said in SQL; tests hold the stages against brute force, and on awkward rows.
 ORACLE_SQL = None
 
 
