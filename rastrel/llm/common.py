@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import staged as staged  # the operators take it from here
+from ..session import staged as staged  # the operators take them from here
+from ..session import unstage as unstage
 
 #: A word is a run of characters other than the space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import grouped, staged
+from .common import grouped, staged, unstage
 from .graph import components
 
 #: Signature coordinates; counters a coordinate in the frequency sketch; members that a list's block holds, about.
-COORDINATES, SKETCH, BLOCK = 64, 4_096, 1_024
+COORDINATES, SKETCH, BLOCK = 64, 4_096, 4_096
 #: Posted rows of a batch; rows of a tile of compared members; share of all rows from which a class is broadcast.
 POSTED_ROWS, TILE, HOT_SHARE = 1 << 15, 512, 1 / 1_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -291,7 +291,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # what the stars joined is already one node of the graph that the rest is added to
     found = components(stars.unionByName(rest))
 
-    classes = staged(classes.join(found, "node", "left").select("k1", "k2", "weight", F.coalesce("component", "node").alias("component_id")), "near-named")
+    named = staged(classes.join(found, "node", "left").select("k1", "k2", "weight", F.coalesce("component", "node").alias("component_id")), "near-named")
+    unstage(active, sets, stars, first, members, found, classes)
+    classes = named
     # a class of many copies isn't dealt by its key: no more than 1 / HOT_SHARE of them are broadcast
     total = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     hot = F.col("weight") >= max(2, int(total * HOT_SHARE))
