@@ -522,7 +522,7 @@ def test_memory_leaves_out_a_rows_own_words():
     teach = [d % 4 != 1 for d in doc]
     order = sorted(range(n), key=lambda i: doc[i])
     h, w, doc, teach = ([x[i] for i in order] for x in (h, w, doc, teach))
-    key = (np.array(h, np.uint64) << np.uint64(24)) | np.array(w, np.uint64)
+    key = (np.array(h, np.uint64) << lm_scoring.WORD_BITS) | np.array(w, np.uint64)
     mem, left = lm_scoring.remembered(key, np.array(teach), np.array(doc))
     for i in range(n):
         others = collections.Counter(w[j] for j in range(n) if h[j] == h[i] and teach[j] and not (teach[i] and doc[j] == doc[i]))
