@@ -583,6 +583,22 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert got == sorted([(5, a), (9, b), (None, c), (None, d), (1, ""), (2, "")], key=str)
 
 
+def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing):
+    """Extra columns of any name, nulls and repeats: each stage gives the columns of documents and its own rows."""
+    odd = awkward.select("*", *[F.lit("x").alias(c) for c in ("lang_pred", "n_private", "_h", "_i", "_quota", "component_id")])
+    rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
+    lettered = [r for r in rows if r[1] and re.search("[a-zA-ZÀ-ÿ]", r[1])]
+    got = corpus_pipeline.language_id(spark, odd, SF)
+    assert got.columns == corpus_pipeline.COLUMNS and sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, lettered))
+    got = corpus_pipeline.pii_stage(spark, odd, SF)
+    assert got.columns == corpus_pipeline.COLUMNS and sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, rows))
+    got = corpus_pipeline.mix_sources(spark, odd, SF)
+    assert got.columns == corpus_pipeline.COLUMNS and {str(tuple(r)[:2]) for r in got.collect()} <= set(map(str, rows))
+    assert corpus_pipeline.pack_tokens(spark, odd, SF).where("start = 0").count() == 11
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
