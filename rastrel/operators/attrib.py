@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sample import mixing_key
+
 # Display name of each factor file, and category of each display name.
 FACTOR_NAMES = {
     "Slope": "Slope", "Aspect": "Aspect", "Temperatur": "Temperature", "DEM": "Elevation", "Soil": "Soil",
@@ -86,9 +88,21 @@ def effect_limit(attr: DataFrame) -> DataFrame:
     return attr.agg(F.when(F.coalesce(top, F.lit(0.0)) == 0, F.lit(1e-5)).otherwise(top).alias("limit"))
 
 
+def local_maps(attr: DataFrame, r: int, c: int, crop: int) -> DataFrame:
+    """Effects of one square of `crop` pixels from (r, c), with the limit that its maps share: band, r, c, phi, limit."""
+    square = attr.where(F.col("r").between(r, r + crop - 1) & F.col("c").between(c, c + crop - 1))
+    return square.join(F.broadcast(effect_limit(square))).select("band", "r", "c", "phi", "limit")  # one row
+
+
+def categories(spark: SparkSession) -> DataFrame:
+    """position, category: the distinct categories by name, which legends number."""
+    distinct = category_table(spark).select("category").distinct()
+    return distinct.select((F.row_number().over(Window.orderBy("category")) - 1).alias("position"), "category")  # a fixed list
+
+
 def display_sample(attr: DataFrame, rows: int = 200, scale: float = 1e4, seed: int = 42) -> DataFrame:
     """At most `rows` pixels in seeded hash order, with effects on the display scale."""
-    pixels = attr.select("r", "c").distinct().orderBy(F.xxhash64(F.lit(seed), "r", "c"), "r", "c").limit(rows)
+    pixels = attr.select("r", "c").distinct().orderBy(mixing_key(F.col("r"), F.col("c"), 100_003 + seed), "r", "c").limit(rows)
     return attr.join(F.broadcast(pixels), ["r", "c"]).withColumn("phi", F.col("phi") * scale)
 
 

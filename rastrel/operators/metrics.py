@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,15 +59,30 @@ def best_epoch(log: DataFrame, patience: int, by: list[str] | None = None) -> Da
     return d.withColumn("_stopped", stopped >= patience).where(~F.col("_stopped")).drop("_stopped")
 
 
-def learning_rates(log: DataFrame, rate: float = 1e-4, factor: float = 0.5, patience: int = 5, least: float = 1e-6, threshold: float = 1e-4) -> list[tuple[int, float]]:
-    """(epoch, rate after it) of a plateau schedule on rising f1; the log has one row an epoch."""
-    best, bad, out = float("-inf"), 0, []
-    for epoch, f1 in log.select("epoch", "f1").orderBy("epoch").toLocalIterator():
-        if f1 > best * (1 + threshold) if best > 0 else f1 > best:
-            best, bad = f1, 0
+@dataclass
+class Plateau:
+    """Learning rate that falls by `factor`, down to `least`, after more than `patience` epochs without a better f1."""
+
+    rate: float = 1e-4
+    factor: float = 0.5
+    patience: int = 5
+    least: float = 1e-6
+    threshold: float = 1e-4
+    best: float = float("-inf")
+    bad: int = 0
+
+    def step(self, f1: float) -> float:
+        """The rate after an epoch that reached f1."""
+        if f1 > (self.best * (1 + self.threshold) if self.best > 0 else self.best):
+            self.best, self.bad = f1, 0
         else:
-            bad += 1
-        if bad > patience:
-            rate, bad = max(rate * factor, least), 0
-        out.append((epoch, rate))
-    return out
+            self.bad += 1
+        if self.bad > self.patience:
+            self.rate, self.bad = max(self.rate * self.factor, self.least), 0
+        return self.rate
+
+
+def learning_rates(log: DataFrame, rate: float = 1e-4, patience: int = 5) -> list[tuple[int, float]]:
+    """(epoch, rate after it) of the schedule; the log has one row an epoch."""
+    schedule = Plateau(rate, patience=patience)
+    return [(epoch, schedule.step(f1)) for epoch, f1 in log.select("epoch", "f1").orderBy("epoch").toLocalIterator()]

@@ -38,3 +38,10 @@ def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return d.select("doc_id", F.col("source").alias("g"), F.coalesce("quality", F.lit(-1)).cast("int").alias("y"), F.expr("CASE WHEN n_chars % 3 = 0 THEN 0 ELSE 1 END").alias("pred"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing (dir, name): `.tif` and `.tiff` files, some of them in the root."""
+    place = F.expr("CASE WHEN n_regionkey < 2 THEN '' ELSE concat('dir', n_regionkey) END")
+    stem = F.expr("CASE n_nationkey WHEN 0 THEN 'Dis2_Road' WHEN 6 THEN 'ASPECT' ELSE concat('f', n_nationkey) END")
+    return _table(spark, sf_dir, "nation").select(place.alias("dir"), F.concat(stem, F.expr("CASE WHEN n_nationkey % 3 = 0 THEN '.tiff' ELSE '.tif' END")).alias("name"))

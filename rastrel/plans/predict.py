@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import clean_factor
 from ..operators import mosaic, score, windows
 from ..operators.windows import owner
+from ..sources import rasters, reports
 
 OVERLAPS = (20, 43, 71, 111, 147)
 
@@ -45,12 +46,16 @@ def windowed(factors: DataFrame, height: int, width: int, crop: int, overlaps: S
     d = d.withColumn("win_r", (F.col("_wr") * stride).cast("int")).withColumn("win_c", (F.col("_wc") * stride).cast("int"))
     d = d.join(wins.select("overlap", F.col("r").alias("win_r"), F.col("c").alias("win_c")), ["overlap", "win_r", "win_c"], "left_semi").select("overlap", "win_r", "win_c", "r", "c", "f")
 
+    held: list[Callable[[np.ndarray], np.ndarray]] = []  # the scorer, loaded once in each task
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         o, wr, wc = (int(pdf[k].iloc[0]) for k in ("overlap", "win_r", "win_c"))
         x = np.zeros((num_bands, crop, crop), np.float32)
         rr, cc = pdf["r"].to_numpy() - wr, pdf["c"].to_numpy() - wc
         x[:, rr, cc] = np.clip(np.nan_to_num(np.stack(pdf["f"].to_numpy()).astype(np.float32)), 0, 1).T
-        return pd.DataFrame({"overlap": o, "win_r": wr, "win_c": wc, "r": pdf["r"], "c": pdf["c"], "p": load()(x)[rr, cc].astype(float)})
+        if not held:
+            held.append(load())
+        return pd.DataFrame({"overlap": o, "win_r": wr, "win_c": wc, "r": pdf["r"], "c": pdf["c"], "p": held[0](x)[rr, cc].astype(float)})
 
     from ..session import ship_package
 
@@ -64,3 +69,14 @@ def risk_map(maps: DataFrame, base: DataFrame | None = None, pixel: tuple[str, .
     """Median mosaic of overlap maps, and its risk histogram."""
     m = mosaic.median_mosaic(maps, list(pixel), "p", base)
     return m, mosaic.risk_histogram(m)
+
+
+def run(factors: DataFrame, out: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, crop: int = 512, overlaps: Sequence[int] = OVERLAPS, base: DataFrame | None = None) -> None:
+    """Factors (r, c, band, v) to `maps` (one run for each overlap), `risk` (median raster) and `risk_csv` under `out`."""
+    height, width = rasters.bounds(factors)
+    stack = score.band_stack(factors.withColumn("v", clean_factor(F.col("v"))))
+    windowed(stack, height, width, crop, overlaps, load, num_bands).write.mode("overwrite").partitionBy("overlap").parquet(f"{out}/maps")
+    median, _ = risk_map(factors.sparkSession.read.parquet(f"{out}/maps"), base)
+    rasters.write(median, f"{out}/risk", value="p")
+    risk = factors.sparkSession.read.parquet(f"{out}/risk").select(F.nullif(F.col("p"), F.lit(-9999.0).cast("float")).cast("double").alias("p"))
+    reports.risk_csv(mosaic.risk_histogram(risk), f"{out}/risk_csv")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import IGNORED
-from ..operators.metrics import binary_metrics, predicted
+from ..operators.metrics import Plateau, binary_metrics, predicted
 
 
 @dataclass
@@ -37,7 +37,7 @@ def fit_linear(train: DataFrame, validate: DataFrame, num_bands: int, epochs: in
     """
     train, validate = (d.where(F.col("y") != IGNORED).select("f", "y").persist() for d in (train, validate))
     w, m1, m2 = [0.0] * (num_bands + 1), [0.0] * (num_bands + 1), [0.0] * (num_bands + 1)
-    best, out, top, bad, waited = float("-inf"), Fitted(w[:-1], w[-1]), float("-inf"), 0, 0
+    best, out, bad, schedule = float("-inf"), Fitted(w[:-1], w[-1]), 0, Plateau(rate)
     for epoch in range(1, epochs + 1):
         p = 1 / (1 + F.exp(-_logit(w[:-1], w[-1])))
         error = p - F.col("y")
@@ -60,10 +60,7 @@ def fit_linear(train: DataFrame, validate: DataFrame, num_bands: int, epochs: in
             bad += 1
             if bad >= patience:
                 break
-        waited = 0 if f1 > top * (1 + 1e-4) or top < 0 else waited + 1
-        top = max(top, f1)
-        if waited > 5:
-            rate, waited = max(rate * 0.5, 1e-6), 0
+        rate = schedule.step(f1)
     train.unpersist()
     validate.unpersist()
     return out

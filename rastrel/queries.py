@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .functions.cells import clean_factor, int_list, null_nodata, strip_module
 from .operators import attrib, drainage, metrics, mosaic, network, rank, sample, score, smooth, terrain, windows
 from .plans import fixtures, morphometric, predict, prepare, train
-from .session import staged
-from .sources import catalog, config, rasters
+from .session import new_folder, staged
+from .sources import catalog, config, patches, rasters, reports
 
 WEIGHTS = [((b % 5) - 2) * 0.25 for b in range(20)]
 BIAS = -0.125
@@ -83,8 +83,18 @@ def nodata_to_null(spark, sf_dir):
 
 @query(f"WITH {DEM} SELECT r, c, coalesce(z, -9999::DOUBLE) z FROM dem WHERE r >= 3 AND r < 11 AND c >= 20 AND c < 60")
 def windowed_scan(spark, sf_dir):
-    cells = fixtures.dem(spark, sf_dir).where("r >= 3 and r < 11 and c >= 20 and c < 60")
-    return cells.select("r", "c", F.coalesce("z", F.lit(-9999.0)).alias("z"))
+    path = new_folder(spark, "dem")
+    rasters.write(fixtures.dem(spark, sf_dir), path, value="z")
+    return rasters.read(spark, path, (3, 11, 20, 60)).select("r", "c", F.col("z").cast("double").alias("z"))
+
+
+@query(f"WITH {FACTOR} SELECT r, c, band, coalesce(CAST(CAST(v AS FLOAT) AS DOUBLE), -9999::DOUBLE) v FROM (SELECT r, c, band, CASE WHEN (r + c) % 5 <> 0 THEN v END v FROM fx)")
+def raster_sink(spark, sf_dir):
+    """Single-precision values with nodata for missing ones, as they are read back."""
+    path = new_folder(spark, "factors")
+    cells = fixtures.factors(spark, sf_dir)
+    rasters.write(cells.withColumn("v", F.when((F.col("r") + F.col("c")) % 5 != 0, F.col("v"))), path)
+    return rasters.read(spark, path).select("r", "c", "band", F.col("v").cast("double").alias("v"))
 
 
 @query(f"WITH {FACTOR} SELECT r, c, count(*) n_bands, round(sum(v * (band + 1)), 6) weighted, min_by(v, band) first_v, max_by(v, band) last_v FROM clean GROUP BY r, c")
@@ -201,7 +211,10 @@ def patch_keep(spark, sf_dir):
     return sample.contained(sample.balanced(labels, fixtures.LABEL_WIDTH), *_size(labels), BLOCK, CROP)
 
 
-@query(f"WITH {LABEL}, {BALANCED}, {KEPT} SELECT r, c, code, CASE WHEN rn < floor(n * 0.6::DOUBLE) THEN 'train' WHEN rn < floor(n * 0.8::DOUBLE) THEN 'val' ELSE 'test' END split FROM (SELECT r, c, code, row_number() OVER (PARTITION BY code ORDER BY {KEY}, r, c) - 1 rn, count(*) OVER (PARTITION BY code) n FROM kept)")
+SPLIT = f"SELECT r, c, code, CASE WHEN rn < floor(n * 0.6::DOUBLE) THEN 'train' WHEN rn < floor(n * 0.8::DOUBLE) THEN 'val' ELSE 'test' END split FROM (SELECT r, c, code, row_number() OVER (PARTITION BY code ORDER BY {KEY}, r, c) - 1 rn, count(*) OVER (PARTITION BY code) n FROM kept)"
+
+
+@query(f"WITH {LABEL}, {BALANCED}, {KEPT} {SPLIT}")
 def stratified_split(spark, sf_dir):
     labels = fixtures.labels(spark, sf_dir)
     return prepare.samples(labels, *_size(labels), BLOCK, CROP)
@@ -279,18 +292,18 @@ def linear_score(spark, sf_dir):
     return predict.pixel_local(fixtures.factors(spark, sf_dir), WEIGHTS, BIAS).select("r", "c", _r("p"))
 
 
+def _linear_windows():
+    import numpy as np
+
+    weights = np.array(WEIGHTS)
+    return lambda x: 1 / (1 + np.exp(-(np.tensordot(weights, x.astype(float), 1) + BIAS)))
+
+
 @query(f"WITH {FACTOR}, {W_SQL}, s AS (SELECT r, c, 1 / (1 + exp(0.125::DOUBLE - sum(v * wt))) p FROM clean JOIN w ON w.band = clean.band GROUP BY r, c), ov AS (SELECT unnest([2, 3]) overlap) SELECT overlap, r, c, round(p, 4) p FROM s, ov, (SELECT max(r) + 1 h, max(c) + 1 w FROM s) WHERE h > overlap AND w > overlap")
 def window_scores(spark, sf_dir):
     factors = fixtures.factors(spark, sf_dir)
     h, w = _size(factors)
-
-    def load():
-        import numpy as np
-
-        weights = np.array(WEIGHTS)
-        return lambda x: 1 / (1 + np.exp(-(np.tensordot(weights, x.astype(float), 1) + BIAS)))
-
-    out = predict.windowed(score.band_stack(factors), h, w, 8, [2, 3], load, 20)
+    out = predict.windowed(score.band_stack(factors), h, w, 8, [2, 3], _linear_windows, 20)
     return out.select("overlap", "r", "c", _r("p", 4))
 
 
@@ -408,3 +421,103 @@ def module_prefix(spark, sf_dir):
 def factor_discovery(spark, sf_dir):
     files = spark.createDataFrame([("Slope", "s.tif"), ("Slope", "t.tif"), ("Aspect", "a.tif"), ("Aspect", "A.TIF"), ("Notes", "x.txt")], "dir string, name string")
     return catalog.factor_files(files)
+
+
+FILES = "files AS (SELECT CASE WHEN n_regionkey < 2 THEN '' ELSE 'dir' || n_regionkey END dir, CASE n_nationkey WHEN 0 THEN 'Dis2_Road' WHEN 6 THEN 'ASPECT' ELSE 'f' || n_nationkey END || CASE WHEN n_nationkey % 3 = 0 THEN '.tiff' ELSE '.tif' END AS name FROM nation)"
+
+
+@query(f"WITH {FILES} SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) band, dir, name FROM files WHERE dir = '' AND name LIKE '%.tif'")
+def factor_listing(spark, sf_dir):
+    return catalog.factor_files(fixtures.files(spark, sf_dir), nested=False)
+
+
+@query(f"WITH {FILES} SELECT CAST(row_number() OVER (ORDER BY dir) - 1 AS INT) band, dir, min(name) AS name FROM files WHERE dir <> '' AND name LIKE '%.tif' GROUP BY dir")
+def nested_listing(spark, sf_dir):
+    return catalog.factor_files(fixtures.files(spark, sf_dir).where("dir <> ''"))
+
+
+@query(f"WITH {FILES} SELECT min(name) AS name FROM files WHERE name LIKE '%.tif'")
+def label_discovery(spark, sf_dir):
+    return catalog.label_file(fixtures.files(spark, sf_dir))
+
+
+@query(f"WITH {FILES}, names AS (SELECT * FROM (VALUES {NAMES_SQL}) t(file, name)), tiff AS (SELECT row_number() OVER (ORDER BY name) - 1 band, replace(name, '.tiff', '') raw FROM files WHERE dir = '' AND name LIKE '%.tiff') SELECT CAST(b AS INT) band, coalesce((SELECT min(name) FROM names WHERE translate(lower(file), '_ ', '') = translate(lower(raw), '_ ', '')), raw, 'Band_' || (b + 1)) AS name FROM range(0, 20) t(b) LEFT JOIN tiff ON tiff.band = b")
+def factor_names_tiff(spark, sf_dir):
+    """Names from `.tiff` files, where the root has no `.tif`."""
+    return attrib.factor_names(catalog.raw_names(fixtures.files(spark, sf_dir).where(F.col("name").endswith(".tiff"))), 20)
+
+
+@query("SELECT CAST(i AS INT) position, (SELECT min_by(n_name, n_nationkey) FROM nation WHERE 'p' || n_regionkey = p) AS value FROM (VALUES (0, 'p3'), (1, 'p0')) t(i, p)")
+def config_projection(spark, sf_dir):
+    """First matches in the order asked for; a missing name is left out."""
+    params = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS position", "concat('p', n_regionkey) AS name", "n_name AS value")
+    return spark.createDataFrame(list(enumerate(config.project(params, ["p3", "absent", "p0"], strict=False))), "position int, value string")
+
+
+@query("SELECT doc_id, CAST(doc_id * 7 % 11 < n_chars % 11 AS INT) pred FROM documents")
+def hard_class(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", metrics.predicted(F.col("doc_id") * 7 % 11, F.col("n_chars") % 11).alias("pred"))
+
+
+@query(f"WITH RECURSIVE {LOG}, o AS (SELECT epoch, f1, row_number() OVER (ORDER BY epoch) i FROM lg), st AS (SELECT 0::BIGINT i, 0::INT epoch, -1::DOUBLE best, 0::INT bad, 1e-4::DOUBLE rate UNION ALL SELECT i, epoch, CASE WHEN worse THEN best ELSE f1 END, CASE WHEN worse AND bad < 2 THEN bad + 1 ELSE 0 END, CASE WHEN worse AND bad >= 2 THEN greatest(rate / 2, 1e-6::DOUBLE) ELSE rate END FROM (SELECT o.i, o.epoch, o.f1, st.best, st.bad, st.rate, o.f1 <= CASE WHEN st.best > 0 THEN st.best * 1.0001::DOUBLE ELSE st.best END worse FROM st JOIN o ON o.i = st.i + 1)) SELECT epoch, rate FROM st WHERE i > 0")
+def plateau_rates(spark, sf_dir):
+    log = metrics.binary_metrics(fixtures.predictions(spark, sf_dir), ["g"]).select((F.substring("g", 4, 9).cast("int") + 1).alias("epoch"), _r("f1"))
+    return spark.createDataFrame(metrics.learning_rates(log, patience=2), "epoch int, rate double")
+
+
+@query(f"WITH {LABEL}, {BALANCED}, {KEPT}, sp AS ({SPLIT}) SELECT k.r, k.c, CASE WHEN any_value(k.code) = 1 THEN '1' ELSE '0' END cls, CAST(band AS INT) band, sum(((l.r * 7 + l.c * (band + 1)) % 9) / 8::DOUBLE * ((l.r - k.r + 4) * 8 + l.c - k.c + 5)) factor_sum, CAST(sum(CASE l.code WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END * ((l.r - k.r + 4) * 8 + l.c - k.c + 5)) AS BIGINT) target_sum FROM sp k JOIN lab l ON l.r BETWEEN k.r - 4 AND k.r + 3 AND l.c BETWEEN k.c - 4 AND k.c + 3, range(0, 2) t(band) WHERE k.split = 'train' GROUP BY k.r, k.c, band")
+def patch_dataset(spark, sf_dir):
+    """Labels and factors to written patches, and the training pairs read back with their targets."""
+    labels = fixtures.labels(spark, sf_dir)
+    factors = labels.select("r", "c", F.explode(F.array(F.lit(0), F.lit(1))).alias("band")).withColumn("v", (F.col("r") * 7 + F.col("c") * (F.col("band") + 1)) % 9 / F.lit(8.0))
+    out = new_folder(spark, "patches")
+    prepare.write_patches(labels, factors, *_size(labels), out, BLOCK, CROP)
+    weighted = lambda a, t: F.aggregate(F.transform(a, lambda x, i: x.cast(t) * (i + 1)), F.lit(0).cast(t), lambda s, x: s + x)
+    d = patches.read(spark, f"{out}/factors", f"{out}/labels", "train")
+    return d.select("r", "c", F.col("cls").cast("string").alias("cls"), "band", weighted("pixels", "double").alias("factor_sum"), weighted("label", "long").alias("target_sum"))
+
+
+@query(f"WITH {LABEL} SELECT r, c, CAST(r % 16 AS INT) dr, CAST(c % 16 AS INT) dc FROM lab WHERE r % 16 BETWEEN 4 AND 11 AND c % 16 BETWEEN 4 AND 11")
+def centre_crop(spark, sf_dir):
+    pixels = fixtures.labels(spark, sf_dir).select("r", "c", (F.col("r") % 16).alias("dr"), (F.col("c") % 16).alias("dc"))
+    return attrib.center_crop(pixels, 16, 16, 8)
+
+
+@query(f"WITH {ATTR}, px AS (SELECT DISTINCT r, c FROM attr), top AS (SELECT r, c FROM px ORDER BY ((CAST(r AS BIGINT) * 100045 + c) * 7919 + 104729) % 65537, r, c LIMIT 200) SELECT r, c, band, x, round(phi * 10000, 3) phi FROM attr JOIN top USING (r, c)")
+def display_sample(spark, sf_dir):
+    return attrib.display_sample(_attr(spark, sf_dir)).select("r", "c", "band", "x", _r("phi", 3))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS position, category FROM (SELECT DISTINCT category FROM (VALUES {CATS_SQL}) t(name, category))")
+def factor_categories(spark, sf_dir):
+    return attrib.categories(spark)
+
+
+@query(f"WITH {ATTR} SELECT band, r, c, round(phi, 6) phi, round(max(abs(phi)) OVER (), 6) AS \"limit\" FROM attr WHERE r BETWEEN 4 AND 11 AND c BETWEEN 3 AND 10")
+def local_maps(spark, sf_dir):
+    return attrib.local_maps(_attr(spark, sf_dir), 4, 3, 8).select("band", "r", "c", _r("phi"), _r("limit"))
+
+
+@query(f"SELECT risk_level, CAST(pixel_count AS VARCHAR) pixel_count, printf('%.2f%%', percentage) AS percentage FROM ({ORACLES['risk_histogram']})")
+def risk_report(spark, sf_dir):
+    """The risk table as its file says it."""
+    path = new_folder(spark, "risk")
+    reports.risk_csv(mosaic.risk_histogram(mosaic.median_mosaic(_runs(spark, sf_dir), ["px"])), path)
+    return spark.read.option("header", True).csv(path).toDF("risk_level", "pixel_count", "percentage")
+
+
+@query(f"WITH {ATTR}, {NAMED} SELECT CAST(rank AS VARCHAR) rank, named.name AS factor, coalesce(category, 'Unknown') category, printf('%.6f', importance) AS importance FROM rk JOIN named ON named.band = rk.band LEFT JOIN cats ON cats.name = named.name")
+def importance_report(spark, sf_dir):
+    path = new_folder(spark, "importance")
+    named = attrib.importance(_attr(spark, sf_dir)).join(F.broadcast(_named(spark)), "band")
+    reports.importance_csv(attrib.with_category(named), path)
+    return spark.read.option("header", True).csv(path).toDF("rank", "factor", "category", "importance")
+
+
+@query(f"WITH {FACTOR}, {W_SQL}, s AS (SELECT 1 / (1 + exp(0.125::DOUBLE - sum(v * wt))) p FROM clean JOIN w ON w.band = clean.band GROUP BY r, c), n AS (SELECT least(CAST(floor(p * 5) AS INT), 4) bin, count(*) k FROM s GROUP BY 1) SELECT risk_level, CAST(coalesce(k, 0) AS VARCHAR) pixel_count, printf('%.2f%%', coalesce(k, 0) * 100::DOUBLE / (SELECT count(*) FROM s)) AS percentage FROM (VALUES (0, 'Very Low'), (1, 'Low'), (2, 'Medium'), (3, 'High'), (4, 'Very High')) t(b, risk_level) LEFT JOIN n ON bin = b")
+def risk_workflow(spark, sf_dir):
+    """Factors through overlapping windows, median raster and risk file: the whole prediction workflow."""
+    out = new_folder(spark, "workflow")
+    predict.run(fixtures.factors(spark, sf_dir), out, _linear_windows, 20, 8, [2, 3])
+    return spark.read.option("header", True).csv(f"{out}/risk_csv").toDF("risk_level", "pixel_count", "percentage")

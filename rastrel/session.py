@@ -57,12 +57,17 @@ def staging_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder that is not there yet, in the shared folder."""
+    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
     `instead_of`: a staged table that nothing else reads; it is deleted once the new one is there.
     """
-    path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path

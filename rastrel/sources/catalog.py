@@ -31,3 +31,11 @@ def factor_files(files: DataFrame, nested: bool = True) -> DataFrame:
 def label_file(files: DataFrame) -> DataFrame:
     """The label raster: the first `.tif` by name."""
     return files.where(F.col("name").endswith(".tif")).agg(F.min("name").alias("name"))
+
+
+def raw_names(files: DataFrame) -> DataFrame:
+    """band, raw: names without extension of the root's `.tif` files in order; of its `.tiff` files if it has no `.tif`."""
+    root = files.where("dir = ''").withColumn("_second", F.col("name").endswith(".tiff")).where(F.col("_second") | F.col("name").endswith(".tif"))
+    first = root.agg(F.min("_second").alias("_want"))  # one row
+    d = root.join(F.broadcast(first), F.col("_second") == F.col("_want"))
+    return d.select((F.row_number().over(Window.orderBy("name")) - 1).alias("band"), F.regexp_replace("name", r"\.tiff?$", "").alias("raw"))
