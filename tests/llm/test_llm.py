@@ -404,6 +404,7 @@ def test_attention_gradient():
     rng = np.random.default_rng(0)
     m = lm_scoring.Model.fresh(np.ones(20, bool), np.full(20, 0.05), 1)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    m.p["b1"], m.p["bg"] = rng.standard_normal(m.p["b1"].shape), rng.standard_normal(m.p["bg"].shape)
     m.table = rng.dirichlet(np.ones(20), lm_scoring.EXPERTS).T
     x, y = rng.integers(0, 20, (2, lm_scoring.WINDOW)), rng.integers(0, 20, (2, lm_scoring.SCORED))
     on = np.ones(y.shape, bool)
@@ -414,7 +415,7 @@ def test_attention_gradient():
         grad[name] = np.zeros((20, lm_scoring.WIDTH))
         grad[name][used] = g
     assert np.allclose(m.gates(x).reshape(2, lm_scoring.SCORED, -1) / m.gates(x).reshape(2, lm_scoring.SCORED, -1).sum(2, keepdims=True), m.forward(x)[0])
-    m.both = None
+    m.folded = None
     for name in ("e", "e2", "q", "k", "v", "o", "w1", "w2", "g", "pos"):
         i = tuple(n // 2 for n in m.p[name].shape) if name not in ("e", "e2") else (int(x[1, 20]), 2)
         loss = []
