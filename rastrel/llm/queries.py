@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, sharding
+from . import chat, fim, fingerprints, langid, lm_scoring, mixing, near_dedup, packing, pii, prefix_trie, quality_net, quality_rules, sharding
 from .common import table
 
 
@@ -61,13 +61,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop(*prefix_trie.KEY)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = langid.fold(3) != 1
+    net = quality_net.train(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    return quality_net.score(docs, net).select("doc_id", (langid.fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_chat, op4_pii, op5_near_dedup, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_chat, op4_pii, op5_near_dedup, op6_packing, op7_quality, op8_language, op9_fingerprints, op10_sharding, op11_prefix_trie, op12_fill_in_middle, op13_quality_net, pipeline)}
 
 ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SEP\])', '\1\\\2\3', 'g')"
 SAID = "</s>[INST] ok [/INST]"
@@ -110,4 +125,27 @@ started AS (SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY domain, lan
 SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(NULL AS BIGINT) AS start_token, CAST(n_tokens AS BIGINT) AS take_tokens FROM started, range(0, 4) t(epoch) WHERE epoch < whole
 UNION ALL SELECT doc_id, domain, lang, source, CAST(whole AS BIGINT), CAST(n_tokens AS BIGINT), start_token, CAST(least(n_tokens, rest - start_token) AS BIGINT) FROM started WHERE least(n_tokens, rest - start_token) > 0"""
 
-ORACLES: dict[str, str] = {"op1_mixing": MIX_SQL, "op3_chat": CHAT_SQL}
+# CRC-32 of a short ASCII string: a fold over its bytes, each folded bit by bit
+CRC = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)))"
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, {CRC.format("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT c.conv_id, 0 AS own, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= c.h UNION ALL SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+k AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up FROM k UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, any_value(bytes) AS bytes, count(*) AS n_convs FROM p GROUP BY key),
+kids AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT a.key, sum(CASE WHEN kids.up IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved FROM n LEFT JOIN kids ON kids.up = n.key JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.key),
+ends AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS digest FROM (SELECT arg_max(key, depth) AS key, conv_id FROM p GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n u ON u.key = n.up LEFT JOIN kids ON kids.up = n.key JOIN below ON below.key = n.key LEFT JOIN ends ON ends.key = n.key"""
+
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIX_SQL, "op3_chat": CHAT_SQL, "op11_prefix_trie": TRIE_SQL, "op12_fill_in_middle": FIM_SQL}
