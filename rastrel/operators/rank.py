@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import staged
+from .lookup import lookup
 
 
 def positions(values: DataFrame, value: str, out: str, weight: str | None = None) -> DataFrame:
@@ -26,17 +27,20 @@ def positions(values: DataFrame, value: str, out: str, weight: str | None = None
 
 
 def average_rank_cdf(cells: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds (average rank - 1) / (N - 1) of `value` over the rows; 0 if there is one row. Ties share their mean rank."""
-    counts = cells.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.broadcast(cells.agg(F.count(F.lit(1)).alias("_all")))  # one row
+    """Adds (average rank - 1) / (N - 1) of `value` over the rows; 0 if there is one row. Ties share their mean rank.
+
+    Most cells may share a value: rows of frequent values aren't gathered. `cells` is read several times; stage it first.
+    """
+    counts = staged(cells.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), "values")
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
     ranked = positions(counts, value, "_below", "_n").join(total)
     cdf = F.when(F.col("_all") <= 1, F.lit(0.0)).otherwise((F.col("_below") + (F.col("_n") - 1) / F.lit(2.0)) / (F.col("_all") - 1))
-    return cells.join(ranked.select(value, cdf.alias(out)), value)
+    return lookup(cells, staged(ranked.select(value, cdf.alias(out)), "cdf"), [value], counts.withColumnRenamed("_n", "n"))
 
 
 def joint_probability(cells: DataFrame) -> DataFrame:
     """Adds cdf_beta, cdf_acc and joint (their product in single precision) to valid cells (beta, acc)."""
-    d = average_rank_cdf(average_rank_cdf(cells, "beta", "cdf_beta"), "acc", "cdf_acc")
+    d = average_rank_cdf(staged(average_rank_cdf(cells, "beta", "cdf_beta"), "ranked"), "acc", "cdf_acc")
     return d.withColumn("joint", (F.col("cdf_beta") * F.col("cdf_acc")).cast("float"))
 
 
@@ -46,5 +50,8 @@ def unit_maximum(joint: DataFrame) -> DataFrame:
 
 
 def spread_units(cells: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds ps_l: the unit's value; 0 for valid cells outside units; null for nodata (slope null)."""
-    return cells.join(units, "label", "left").withColumn("ps_l", F.when(F.col("slope").isNotNull(), F.coalesce("unit_value", F.lit(0.0).cast("float")))).drop("unit_value")
+    """Adds ps_l: the unit's value; 0 for valid cells outside units; null for nodata (slope null).
+
+    A unit may hold a large share of the cells, as may label 0, which has no value: neither is gathered in one task.
+    """
+    return lookup(cells, units, ["label"]).withColumn("ps_l", F.when(F.col("slope").isNotNull(), F.coalesce("unit_value", F.lit(0.0).cast("float")))).drop("unit_value")

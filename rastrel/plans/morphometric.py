@@ -7,19 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import drainage, rank, smooth, terrain
+from ..operators import drainage, flood, rank, tiles
 from ..session import staged
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Cell size, least slope of cells that count, smoothing width (None: none), and strict or corrected semantics."""
+    """Cell size, least slope of cells that count, smoothing width (None: none), strict or corrected semantics, tile size.
+
+    corrected: depressions are filled, diagonal drops divided by the square root of 2, smoothing weighs valid cells only.
+    """
 
     dx: float = 1.0
     dy: float = 1.0
     min_slope: float = 0.0
     sigma: float | None = None
     mode: str = "strict"
+    tile: int = tiles.TILE
 
 
 def drained(dem: DataFrame, height: int, width: int, s: Settings = Settings()) -> DataFrame:
@@ -27,25 +31,30 @@ def drained(dem: DataFrame, height: int, width: int, s: Settings = Settings()) -
 
     Nodata cells weigh 1 and slope 0; beta is single precision.
     """
-    z = staged(terrain.jitter(dem), "dem")
-    cells = terrain.d8(z, s.mode).join(terrain.sobel_slope(z, s.dx, s.dy), ["r", "c"])
-    cells = staged(cells.withColumn("id", F.col("r").cast("long") * width + F.col("c")), "cells")
-    nodes = terrain.receivers(cells.select("r", "c", "dir"), height, width).join(cells.select("id", F.lit(1.0).alias("one"), "slope"), "id")
-    sums = drainage.accumulate(nodes, ["one", "slope"])
-    return cells.join(sums, "id").select("id", "r", "c", "slope", "dir", "ptr", "root", F.col("acc_one").cast("long").alias("acc"), (F.col("acc_slope") / F.col("acc_one")).cast("float").alias("beta"))
+    z = tiles.from_cells(dem, ["z"], height, width, s.tile)
+    if s.mode == "corrected":
+        z = flood.fill_tiles(staged(z, "dem-tiles"), height, width, s.tile)
+    flow = staged(tiles.terrain(z, height, width, s.dx, s.dy, s.mode, s.tile), "terrain-tiles")
+    sums = drainage.accumulate_tiles(flow, [None, "slope"], height, width, s.tile)
+    both = flow.select("tr", "tc", "slope", "dir").join(sums, ["tr", "tc"])
+    cells = tiles.to_cells(both, ["slope", "dir", "ptr", "root", "acc_0", "acc_1"])
+    beta = (F.col("acc_1") / F.col("acc_0")).cast("float")
+    flat = F.col("r").cast("long") * width + F.col("c")
+    return cells.select(flat.alias("id"), "r", "c", "slope", F.col("dir").cast("int").alias("dir"), F.nullif(F.col("ptr"), F.lit(-1).cast("long")).alias("ptr"), "root", F.col("acc_0").cast("long").alias("acc"), beta.alias("beta"))
 
 
 def joint(cells: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Labels and joint probability of the valid cells that are steep enough."""
-    labelled = staged(drainage.unit_labels(cells), "labelled")
+    labelled = staged(drainage.unit_labels(staged(cells, "drained-cells")), "labelled")
     return rank.joint_probability(labelled.where(F.col("slope") >= s.min_slope))
 
 
 def susceptibility(dem: DataFrame, height: int, width: int, s: Settings = Settings()) -> DataFrame:
     """r, c, ps_l: 0 for valid cells outside slope units, null for nodata."""
-    cells = staged(drainage.unit_labels(drained(dem, height, width, s)), "labelled")
-    units = rank.unit_maximum(rank.joint_probability(cells.where(F.col("slope") >= s.min_slope)))
+    cells = staged(drainage.unit_labels(staged(drained(dem, height, width, s), "drained-cells")), "labelled")
+    units = staged(rank.unit_maximum(rank.joint_probability(cells.where(F.col("slope") >= s.min_slope))), "units")
     out = rank.spread_units(cells, units).select("r", "c", "ps_l")
     if not s.sigma:
         return out
-    return smooth.gaussian(out.select("r", "c", F.col("ps_l").alias("v")), s.sigma, s.mode).select("r", "c", F.col("v").alias("ps_l"))
+    smoothed = tiles.gaussian(tiles.from_cells(out, ["ps_l"], height, width, s.tile), "ps_l", height, width, s.sigma, s.mode, s.tile)
+    return tiles.to_cells(smoothed, ["ps_l"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.cells import clean_factor, int_list, null_nodata, strip_module
-from .operators import attrib, drainage, metrics, mosaic, network, rank, sample, score, smooth, terrain, windows
+from .operators import attrib, drainage, flood, metrics, mosaic, network, rank, sample, score, smooth, terrain, tiles, windows
 from .plans import fixtures, morphometric, predict, prepare, train
 from .session import new_folder, staged
 from .sources import catalog, config, patches, rasters, reports
@@ -14,6 +14,8 @@ from .sources import catalog, config, patches, rasters, reports
 WEIGHTS = [((b % 5) - 2) * 0.25 for b in range(20)]
 BIAS = -0.125
 BLOCK, CROP = 32, 8
+#: Small enough that the fixtures have many tiles.
+TILE = 256
 
 # ---- SQL of the fixtures -------------------------------------------------------------------------------------------
 DEM = "dem AS (SELECT CAST(o_orderkey // 100 AS INT) r, CAST(o_orderkey % 100 AS INT) c, CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE (1000 - o_orderkey // 100) * 0.0625::DOUBLE + (o_custkey % 16) * 0.0625::DOUBLE END z FROM orders), dims AS (SELECT max(r) + 1 h, max(c) + 1 w FROM dem), jit AS (SELECT r, c, CAST(z + ((r + 2 * c) % 8) * 1e-6::DOUBLE AS FLOAT) z FROM dem)"
@@ -50,7 +52,7 @@ def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     dem = fixtures.dem(spark, sf_dir)
-    return morphometric.drained(dem, *_size(dem))
+    return morphometric.drained(dem, *_size(dem), morphometric.Settings(tile=TILE))
 
 
 def _joint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +149,7 @@ def mean_upstream_slope(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {DEM}, {NEAR}, {FILLED}, {SLOPE}, {FLOW}, {UP} SELECT r, c, label FROM units")
 def slope_units(spark, sf_dir):
-    return drainage.unit_labels(_drained(spark, sf_dir)).select("r", "c", "label")
+    return drainage.unit_labels(staged(_drained(spark, sf_dir), "drained-cells")).select("r", "c", "label")
 
 
 @query(f"WITH RECURSIVE {DEM}, {NEAR}, {FILLED}, {SLOPE}, {FLOW}, {UP}, {JOINT} SELECT r, c, round(cdf_acc, 6) cdf_acc, round(cdf_beta, 4) cdf_beta, round(CAST(j AS DOUBLE), 4) joint FROM jp")
@@ -177,6 +179,37 @@ def morphometric_smoothed(spark, sf_dir):
     return morphometric.susceptibility(dem, *_size(dem), morphometric.Settings(sigma=2.0)).select("r", "c", _r("ps_l", 3))
 
 
+@query(f"WITH {DEM}, {NEAR}, {FILLED}, {SLOPE}, {FLOW} SELECT f.r, f.c, round(CAST(slope AS DOUBLE), 4) slope, dir FROM slopes s JOIN flow f ON f.r = s.r AND f.c = s.c")
+def tile_terrain(spark, sf_dir):
+    """Slope and direction on tiles of 32 x 32 cells."""
+    dem = fixtures.dem(spark, sf_dir)
+    h, w = _size(dem)
+    made = tiles.terrain(tiles.from_cells(dem, ["z"], h, w, 32), h, w, tile=32)
+    return tiles.to_cells(made, ["slope", "dir"]).select("r", "c", _r("slope", 4), F.col("dir").cast("int").alias("dir"))
+
+
+@query(f"WITH {DEM}, src AS (SELECT r, c, z v FROM dem), {GAUSS} SELECT s.r, s.c, CASE WHEN s.v IS NOT NULL THEN round(g2.v, 6) END v FROM src s JOIN g2 ON g2.r = s.r AND g2.c = s.c")
+def tile_gauss(spark, sf_dir):
+    """Smoothing on tiles of 32 x 32 cells."""
+    dem = fixtures.dem(spark, sf_dir).withColumnRenamed("z", "v")
+    h, w = _size(dem)
+    return tiles.to_cells(tiles.gaussian(tiles.from_cells(dem, ["v"], h, w, 32), "v", h, w, tile=32), ["v"]).select("r", "c", _r("v"))
+
+
+@query(f"WITH RECURSIVE {DEM}, {NEAR}, {FILLED}, {SLOPE}, {FLOW}, {UP} SELECT p.r, p.c, acc, round(CAST(beta AS DOUBLE), 4) beta, CAST(root AS BIGINT) root FROM acc JOIN ptrs p ON p.id = acc.id JOIN roots o ON o.id = p.id")
+def tile_drainage(spark, sf_dir):
+    """Accumulation and roots with paths that run over tiles of 32 x 32 cells."""
+    dem = fixtures.dem(spark, sf_dir)
+    return morphometric.drained(dem, *_size(dem), morphometric.Settings(tile=32)).select("r", "c", "acc", _r("beta", 4), "root")
+
+
+@query(f"WITH RECURSIVE {DEM}, offs AS (SELECT a dr, b dc FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b)), seed AS (SELECT d.r, d.c, any_value(d.z) z FROM dem d CROSS JOIN offs LEFT JOIN dem n ON n.r = d.r + dr AND n.c = d.c + dc WHERE d.z IS NOT NULL AND n.z IS NULL GROUP BY d.r, d.c), fill(r, c, f) USING KEY (r, c) AS (SELECT r, c, z FROM seed UNION SELECT n.r, n.c, min(greatest(n.z, w.f)) FROM fill w CROSS JOIN offs JOIN dem n ON n.r = w.r + dr AND n.c = w.c + dc LEFT JOIN recurring.fill o ON o.r = n.r AND o.c = n.c WHERE n.z IS NOT NULL AND (o.f IS NULL OR greatest(n.z, w.f) < o.f) GROUP BY n.r, n.c) SELECT d.r, d.c, fill.f z FROM dem d LEFT JOIN fill ON fill.r = d.r AND fill.c = d.c")
+def depression_fill(spark, sf_dir):
+    """Depressions filled, with spills over the borders of tiles of 32 x 32 cells."""
+    dem = fixtures.dem(spark, sf_dir)
+    return flood.fill(dem, *_size(dem), 32)
+
+
 @query(f"WITH {DEM}, t AS (SELECT CAST(a AS INT) r0, least(CAST(a AS INT) + 64, h) r1, CAST(b AS INT) c0, least(CAST(b AS INT) + 64, w) c1, h, w FROM dims, range(0, 100000, 64) x(a), range(0, 1000, 64) y(b) WHERE a < h AND b < w) SELECT r0, r1, c0, c1, greatest(r0 - 8, 0) h_r0, least(r1 + 8, h) h_r1, greatest(c0 - 8, 0) h_c0, least(c1 + 8, w) h_c1 FROM t")
 def tile_windows(spark, sf_dir):
     return windows.tiles(spark, *_size(fixtures.dem(spark, sf_dir)), tile=64, overlap=8)
