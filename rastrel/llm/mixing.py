@@ -77,21 +77,23 @@ def mix(docs: DataFrame, budget: float | None = None, max_epochs: int = 4, seed:
     """One row for each document and epoch that the mix takes: doc_id, domain, lang, source, epoch, n_tokens, start_token, take_tokens.
 
     Tokens are words. A leaf that must give its tokens k times and a rest takes k whole epochs and, of epoch k,
-    the prefix of that many tokens in an order seeded by leaf, epoch and doc_id; the last document of a prefix
-    may be cut (take_tokens < n_tokens). Null lang or source count as ''; null text has no words and is taken
+    the prefix of that many tokens in an order seeded by epoch and doc_id, or by the text where doc_id is null; rows of
+    one doc_id follow by hashes of text and `keep`, so the result doesn't depend on the table's layout. The last document
+    of a prefix may be cut (take_tokens < n_tokens). Null lang or source count as ''; null text has no words and is taken
     only in whole epochs; repeated rows are separate documents; an empty table gives no rows. Columns in `keep` are carried.
     """
     names = {"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
-    rows = docs.select("doc_id", (default_domain() if domain is None else domain).alias("domain"), *[c.alias(k) for k, c in names.items()], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select("doc_id", (default_domain() if domain is None else domain).alias("domain"), *[c.alias(k) for k, c in names.items()], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), F.xxhash64("text", *keep).alias("_tie"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     rows = staged(rows, "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = staged(plan_budgets(leaves, budget, max_epochs, domain_weights, lang_weights, source_weights), "mix-plan")
     small = plan.count() <= BROADCAST_LEAVES
     rows = rows.join(F.broadcast(plan) if small else plan, LEVELS).where("budget > 0")
-    rows = rows.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), "full_epochs", "doc_id").cast("binary")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("_tie").cast("string")))
+    rows = rows.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), "full_epochs", name).cast("binary")))
     # the first 8 hex digits deal a leaf into ranges of its order, so buckets follow the order itself
     bucket = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * n_buckets(F.col("docs")), 32)
-    rows = running_total(rows, LEVELS, bucket, [F.col("_key"), F.col("doc_id")], F.col("n_tokens"), "start_token")
+    rows = running_total(rows, LEVELS, bucket, [F.col("_key"), F.col("doc_id"), F.col("_tie")], F.col("n_tokens"), "start_token")
     rest = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest_tokens") - F.col("start_token")))
     last = F.when(rest > 0, F.array(F.col("full_epochs"))).otherwise(F.array().cast("array<bigint>"))
     whole = F.when(F.col("full_epochs") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("full_epochs") - 1)).otherwise(F.array().cast("array<bigint>"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .common import let
 
 ROUNDS = 8
-#: Dates are permuted among this many days (340 x 215) from FIRST_DAY on; dates outside stay as they are.
-FIRST_DAY, DAY_HALVES = "1900-01-01", (340, 215)
-#: Steps over dates of the wrong form, two in five, at most.
-WALKS = 80
+#: Dates are permuted within this many months from January of FIRST_YEAR on; dates outside stay as they are.
+FIRST_YEAR, MONTHS = 1900, 2400
+#: Steps over days that a month lacks, one in thirty, at most.
+WALKS = 24
 
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {
@@ -31,11 +31,19 @@ def _iban_pattern() -> str:
 #: What a space within a phone number isn't before: another date, address, security or card number.
 OTHER = r"(?!\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4}|(?:\d{1,3}\.){3}\d|\d{3}-\d{2}-\d{4}|\d{4}[ -]\d{4,6}[ -]\d{4}|\d{13})"
 
+# Names that secrets are given to, and beginnings of keys that some services issue.
+SECRET_NAMES = "passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_ -]?keys?|secret[_ -]?keys?|access[_ -]?keys?|private[_ -]?keys?|credentials?"
+ISSUED = r"gh[pousr]_|github_pat_|glpat-|sk-|xox[abeprs]-|AIza|hf_|npm_"
+#: `name=`, `name :`, `"name": "` and the like, in any case.
+GIVEN = rf"(?i:{SECRET_NAMES})[\"']?[ \t]{{0,3}}(?::=|=>|[=:])[ \t]{{0,3}}"
+
 # What each kind of value looks like. Each is validated before it is replaced.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=password=)[^\s\"']{6,}|(?<=token = \")[^\s\"]{6,}|(?<=secret=)[^\s\"']{6,}|(?<=api_key=)[^\s\"']{6,}",
+    "issued": rf"(?<![A-Za-z0-9_-])(?:{ISSUED})[A-Za-z0-9_-]{{16,}}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}",
+    # in quotes anything; bare after `=` anything, after `:` what has a digit, as prose has colons too
+    "secret": rf"{GIVEN}(?:\"[^\s\"]{{6,}}|'[^\s']{{6,}}|(?<![:>][ \t]{{0,3}})[^\s\"']{{6,}}|(?=[^\s\"']{{0,200}}\d)[^\s\"']{{6,}})",
     "iban": _iban_pattern(),
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
@@ -137,29 +145,30 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
+    """Months and days are permuted, days over 12 among such: so a day's pseudonym is one day in every form, and a slash
+    date that is read as day first for its day over 12 becomes another such."""
     form = F.when(m.contains("-"), F.lit("yyyy-MM-dd")).when(m.contains("."), F.lit("dd.MM.yyyy")).when(F.substr(m, F.lit(1), F.lit(2)).cast("int") > 12, F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
+    part = lambda f, iso, us, other: F.when(f == "yyyy-MM-dd", F.substr(m, *map(F.lit, iso))).when(f == "MM/dd/yyyy", F.substr(m, *map(F.lit, us))).otherwise(F.substr(m, *map(F.lit, other)))
+    date = lambda month, day: F.try_to_date(F.concat_ws("-", F.lit(FIRST_YEAR) + F.floor(month / 12), month % 12 + 1, day), "yyyy-M-d")
 
-    def parts(f):
-        y = F.when(f == "yyyy-MM-dd", F.substr(m, F.lit(1), F.lit(4))).otherwise(F.substr(m, F.lit(7), F.lit(4)))
-        mo = F.when(f == "yyyy-MM-dd", F.substr(m, F.lit(6), F.lit(2))).when(f == "MM/dd/yyyy", F.substr(m, F.lit(1), F.lit(2))).otherwise(F.substr(m, F.lit(4), F.lit(2)))
-        d = F.when(f == "yyyy-MM-dd", F.substr(m, F.lit(9), F.lit(2))).when(f == "MM/dd/yyyy", F.substr(m, F.lit(4), F.lit(2))).otherwise(F.substr(m, F.lit(1), F.lit(2)))
-        day = F.datediff(F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY)))
-        a, b = DAY_HALVES
-
-        def day_of(n):
-            return F.date_add(F.to_date(F.lit(FIRST_DAY)), n.cast("int"))
+    def moved(v):
+        f, late = v["f"], v["day"] > 12
+        low, size = F.when(late, 13).otherwise(1), F.when(late, 19).otherwise(12)
 
         def walk(s, i):
-            """A date that is read as day first for its day over 12 becomes another such: others are walked over."""
-            moved = let(feistel(F.floor(s["n"] / b), F.lit(a), s["n"] % b, F.lit(b), key, "date"), lambda z: z["x"] * b + z["y"])
-            return F.when(s["done"], s).otherwise(let(moved, lambda v: F.struct(v.alias("n"), ((f != "dd/MM/yyyy") | (F.dayofmonth(day_of(v)) > 12)).alias("done"))))
+            """February has no 30th: such days are walked over."""
+            to = let(feistel(s["x"], F.lit(MONTHS), s["y"], size, key, "date"), lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"), date(z["x"], z["y"] + low).isNotNull().alias("done")))
+            return F.when(s["done"], s).otherwise(to)
 
-        def made(n):
-            back = day_of(F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), F.struct(n.cast("long").alias("n"), F.lit(False).alias("done")), walk)["n"])
-            text = let(back, lambda t: F.when(f == "yyyy-MM-dd", F.date_format(t, "yyyy-MM-dd")).when(f == "dd.MM.yyyy", F.date_format(t, "dd.MM.yyyy")).when(f == "dd/MM/yyyy", F.date_format(t, "dd/MM/yyyy")).otherwise(F.date_format(t, "MM/dd/yyyy")))
-            return F.when((n >= 0) & (n < a * b), text)
+        start = F.struct(v["month"].cast("long").alias("x"), (v["day"] - low).cast("long").alias("y"), F.lit(False).alias("done"))
+        new = let(F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), start, walk), lambda s: date(s["x"], s["y"] + low))
+        text = let(new, lambda t: F.when(f == "yyyy-MM-dd", F.date_format(t, "yyyy-MM-dd")).when(f == "dd.MM.yyyy", F.date_format(t, "dd.MM.yyyy")).when(f == "dd/MM/yyyy", F.date_format(t, "dd/MM/yyyy")).otherwise(F.date_format(t, "MM/dd/yyyy")))
+        return F.when(v["month"].between(0, MONTHS - 1) & date(v["month"], v["day"]).isNotNull(), text)
 
-        return let(day, made)
+    def parts(f):
+        y, mo, d = (part(f, *at).cast("int") for at in (((1, 4), (7, 4), (7, 4)), ((6, 2), (1, 2), (4, 2)), ((9, 2), (4, 2), (1, 2))))
+        month = F.when(mo.between(1, 12), (y - FIRST_YEAR) * 12 + mo - 1).otherwise(-1)
+        return let(F.struct(f.alias("f"), month.alias("month"), d.alias("day")), moved)
 
     return let(form, parts)
 
@@ -218,12 +227,24 @@ def _hashed(m: Column, key: str, kind: str, n) -> Column:
     return F.substr(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), m).cast("binary"), 256), F.lit(8)), F.lit(1), n)
 
 
+def _secret(m: Column, key: str) -> Column:
+    """What it is given to stays; so does a quote before the value, which is hashed."""
+    given = F.regexp_extract(m, rf"^{GIVEN}[\"']?", 0)
+
+    def made(p):
+        value = F.substr(m, F.length(p) + 1)
+        return F.concat(p, _hashed(value, key, "secret", F.least(F.length(value), F.lit(512))))
+
+    return let(given, made)
+
+
 def pseudonym(m: Column, secret: Column, key: str) -> Column:
     """Replacement of one match; null where it isn't valid, so it stays. `secret`: it stands where a secret does."""
     is_ = lambda k: F.regexp_like(m, F.lit(rf"^(?:{PATTERNS[k]})$"))
     return (
-        F.when(secret, _hashed(m, key, "secret", F.least(F.length(m), F.lit(512))))
+        F.when(secret, _secret(m, key))
         .when(m.contains("@"), F.concat(F.lit("u"), _hashed(m, key, "email", F.lit(14)), F.lit("@example.org")))
+        .when(is_("issued"), let(F.regexp_extract(m, rf"^(?:{ISSUED})", 0), lambda p: F.concat(p, _hashed(m, key, "secret", F.least(F.length(m) - F.length(p), F.lit(512))))))
         .when(is_("key"), F.concat(F.lit("AKIA"), F.upper(_hashed(m, key, "key", F.lit(16)))))
         .when(is_("iban"), _iban(m, key))
         .when(is_("date"), _date(m, key))
@@ -254,9 +275,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Cards (Luhn), IBANs (modulo 97), dates, IPv4 addresses, social security and phone numbers are permuted by a
     keyed Feistel network within their own format, so equal values get equal pseudonyms in all documents and
-    unlike values unlike ones. E-mail addresses and secrets have no finite format; they get keyed hashes of
-    their form; what stands where a secret does is one, also if it looks like a number. Numbers that fail
-    validation stay. Null text stays null (n_private 0); empty, very long and repeated texts are treated alike;
+    unlike values unlike ones; a day is one day in every form of date. E-mail addresses and secrets have no finite
+    format; they get keyed hashes of their form. Secrets are what is given to a name in SECRET_NAMES, in any case and
+    also if it looks like a number (after a bare colon only if it has a digit; six characters at least), and keys that
+    begin as in ISSUED, web tokens and AKIA keys; others are not found. Numbers that fail validation stay. Null text stays null (n_private 0); empty, very long and repeated texts are treated alike;
     an empty table gives no rows; a column n_private that is there already is replaced.
     """
     found = F.when(F.col("text").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(replace_private(F.col("text"), key))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rastrel.llm import fim, prefix_trie, quality_net, queries
+from rastrel.llm import fim, mixing, pii, prefix_trie, quality_net, queries
 
 SF = "/root/testdata/sf0.001"
 NASTY = ["pos", "_part", "_n", "depth", "n", "form", "output", "score", "quality", "_h", "bytes", "own", "h", "base", "ka"]
@@ -210,3 +210,46 @@ def test_quality_net_on_awkward_rows(spark, monkeypatch):
 def test_registered():
     assert {"op11_prefix_trie", "op12_fill_in_middle", "op13_quality_net"} <= set(__spark_entry__.queries())
     assert {"op11_prefix_trie", "op12_fill_in_middle"} <= set(__spark_entry__.oracle_sql())
+
+
+# ---- mends of 1 and 4 ----------------------------------------------------------------------------------------------
+SECRETS = ["Password=hunter22a", "password: tr0ub4dor", "password = swordfish9", 'token="abcdef99"', "API_KEY=ABCDEFGH", 'TOKEN = "9233A8ECF7C5B09F"', '{"secret": "abc/def.ghi"}', "client_secret := s3cr3t-value", "ghp_0123456789abcdefghij0123456789abcdef", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2"]
+HELD = ["hunter22a", "tr0ub4dor", "swordfish9", "abcdef99", "ABCDEFGH", "9233A8ECF7C5B09F", "abc/def.ghi", "s3cr3t-value", "0123456789abcdefghij", "eyJzdWIiOiIxMjM0"]
+
+
+def test_secrets_in_all_their_forms(spark):
+    d = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(d, "k").collect()}
+    assert all(got[i]["n_private"] == 1 and h not in got[i]["text"] and len(got[i]["text"]) == len(SECRETS[i]) for i, h in enumerate(HELD))
+    prose = ["the password: understanding is key", "my secrets are: nothing", "tokenizers: bytes1234", "secret: 12"]
+    left = spark.createDataFrame([(t,) for t in prose], "text string")
+    assert [r["text"] for r in pii.pseudonymise(left, "k").collect()] == prose
+
+
+def test_no_secret_of_the_given_documents_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    given = r"(?i)(?:password|token|secret|api_key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{6,})"
+    found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(given), F.lit(1)).alias("held")).where("size(held) > 0")
+    assert {2514, 8743} <= {r["doc_id"] for r in found.select("doc_id").collect()}
+    out = pii.pseudonymise(found, "k")
+    assert out.where(F.exists("held", lambda h: F.contains(F.col("text"), h)) | (F.col("n_private") == 0)).count() == 0
+
+
+def test_a_day_is_one_day_in_every_form(spark):
+    days = spark.sql("SELECT id AS doc_id, date_add(DATE'1900-01-01', CAST(id * 97 AS INT)) AS day FROM range(750)")
+    text = F.concat_ws(" ", F.date_format("day", "yyyy-MM-dd"), F.date_format("day", "dd.MM.yyyy"), F.when(F.dayofmonth("day") > 12, F.date_format("day", "dd/MM/yyyy")).otherwise(F.date_format("day", "MM/dd/yyyy")))
+    rows = pii.pseudonymise(days.select("doc_id", text.alias("text")), "k").collect()
+    seen = set()
+    for r in rows:
+        iso, dots, slashes = r["text"].split()
+        y, m, d = iso.split("-")
+        assert dots == f"{d}.{m}.{y}" and slashes == (f"{d}/{m}/{y}" if int(d) > 12 else f"{m}/{d}/{y}") and r["n_private"] == 3
+        seen.add(iso)
+    assert len(seen) == 750
+
+
+def test_a_mix_does_not_depend_on_layout(spark):
+    rows = [(None if i % 5 < 3 else 7, f"text {i} " + "w " * (i % 9), "en", "src1", i) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    take = lambda n: sorted(map(str, mixing.mix(d.repartition(n), budget=2500, keep=("text", "lang", "source", "n_chars")).collect()))
+    assert take(3) == take(7) != []
