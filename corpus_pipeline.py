@@ -6,14 +6,17 @@ texts are rows like others unless a stage says what becomes of them; an empty ta
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastrel.llm import langid, mixing, near_dedup, packing, pii
 from rastrel.llm.common import staged
 
-#: Setting that holds the secret of the pseudonyms.
+#: Setting that holds the secret of the pseudonyms; without it an application draws its own, which nobody is told.
 PII_KEY = "spark.rastrel.pii.key"
+_drawn: dict[str, str] = {}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -50,14 +53,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms in every text; n_chars follows. Every row stays; null text stays null (n_chars null)."""
-    return pii.pseudonymise(docs.select(COLUMNS), spark.conf.get(PII_KEY, "a key for synthetic tables")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Pseudonyms in every text; n_chars follows. Every row stays; null text stays null (n_chars null).
+
+    To link pseudonyms of several runs, set PII_KEY; a key that was drawn links those of one application.
+    """
+    key = spark.conf.get(PII_KEY, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+    return pii.pseudonymise(docs.select(COLUMNS), key).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's documents as often as its budget asks for; the last document of a prefix stays whole.
 
-    Null lang or source become ''; rows of equal doc_id are separate documents, in order of their texts.
+    Null lang or source become ''; rows of equal doc_id are separate documents, in order of hashes of their texts.
     """
     return mixing.mix(docs, keep=("text", "lang", "source", "n_chars")).select("doc_id", "text", "lang", "source", "n_chars")
 
@@ -75,9 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each one's table is deleted once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        docs = staged(out, f"pipeline-{name}", instead_of=docs) if k + 1 < len(STAGES) else out
     return docs
