@@ -44,7 +44,8 @@ def values_of(column: pa.ChunkedArray | pa.Array, k: int) -> np.ndarray:
     return column[k].values.to_numpy(zero_copy_only=False)
 
 
-def _table(schema: pa.Schema, columns: list) -> pa.Table:
+def make_table(schema: pa.Schema, columns: list) -> pa.Table:
+    """Columns (lists of values or Arrow arrays) as a table of `schema`."""
     return pa.Table.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
@@ -69,11 +70,28 @@ def from_cells(cells: DataFrame, values: Sequence[str], height: int, width: int,
             a = np.full(h * w, np.nan, np.float32 if k == "float" else np.float64)
             a[at] = t[v].to_numpy()
             arrays.append(lists([a]))
-        return _table(schema, [*[[t[b][0].as_py()] for b in by], [tr], [tc], [r0], [c0], [h], [w], *arrays])
+        return make_table(schema, [*[[t[b][0].as_py()] for b in by], [tr], [tc], [r0], [c0], [h], [w], *arrays])
 
     return rows.groupBy(*by, "tr", "tc").applyInArrow(pack, out)
 
 
+def from_bands(factors: DataFrame, num_bands: int, height: int, width: int, tile: int = TILE) -> DataFrame:
+    """tr .. w and arrays b0, b1, ... (float) of rows (r, c, band, v): all bands of a tile in one row, each cell shuffled once."""
+    ship_package(factors.sparkSession)
+    rows = factors.select(tile_of(F.col("r"), tile).alias("tr"), tile_of(F.col("c"), tile).alias("tc"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("band").cast("int").alias("band"), F.col("v").cast("float").alias("v"))
+    out = StructType.fromDDL(", ".join([PLACE_KINDS, *[f"b{i} array<float>" for i in range(num_bands)]]))
+    schema = to_arrow_schema(out)
+
+    def pack(t: pa.Table) -> pa.Table:
+        tr, tc = t["tr"][0].as_py(), t["tc"][0].as_py()
+        (r0, h), (c0, w) = extent(tr, height, tile), extent(tc, width, tile)
+        a = np.full((num_bands, h * w), np.nan, np.float32)
+        a[t["band"].to_numpy(), (t["r"].to_numpy() - r0) * w + t["c"].to_numpy() - c0] = t["v"].to_numpy()
+        return make_table(schema, [[tr], [tc], [r0], [c0], [h], [w], *[lists([x]) for x in a]])
+
+    return rows.groupBy("tr", "tc").applyInArrow(pack, out)
+
+
 def to_cells(tiles: DataFrame, values: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """`keep`, r, c and each value of the tiles' cells, by expressions; NaN becomes null."""
     d = tiles.select(*keep, "r0", "c0", "w", F.posexplode(F.arrays_zip(*values)).alias("_at", "_v"))
@@ -162,7 +180,7 @@ def stencil(tiles: DataFrame, values: Sequence[str], halo: int, height: int, wid
                 r, q, n, m = (t[p][k].as_py() for p in ("r0", "c0", "h", "w"))
                 arrays[v][r - a : r - a + n, q - c : q - c + m] = x.reshape(n, m)
         made = work(Halo(r0, c0, h, w, halo, r0 - a, c0 - c, arrays))
-        return _table(schema, [[tr], [tc], [r0], [c0], [h], [w], *[lists([made[n]]) for n in out]])
+        return make_table(schema, [[tr], [tc], [r0], [c0], [h], [w], *[lists([made[n]]) for n in out]])
 
     return sent.groupBy("tr", "tc").applyInArrow(assemble, made)
 

@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import clean_factor
-from ..operators import mosaic, score, windows
-from ..operators.windows import owner
+from ..functions.cells import clean_factor, null_nodata
+from ..operators import mosaic, score, tiles, windows
 from ..sources import rasters, reports
 
 OVERLAPS = (20, 43, 71, 111, 147)
@@ -24,45 +22,68 @@ def pixel_local(factors: DataFrame, weights: Sequence[float], bias: float, mask:
     return mosaic.masked(p, mask, ["r", "c"], "p") if mask is not None else p
 
 
-def windowed(factors: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int) -> DataFrame:
-    """overlap, r, c, p of a scorer that looks at whole windows, each window keeping the pixels it writes last.
+def windowed_tiles(stack: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, tile: int, masked: bool = False) -> DataFrame:
+    """overlap, r, c, p of a scorer that looks at whole windows, from tiles (.., b0, b1, ...) of `tile` cells a side.
 
-    factors: r, c, f (array of bands). Pixels go to the windows that hold them; a window is one group, whose size is
-    fixed by `crop`. `load` gives a function from (bands, crop, crop) to probabilities (crop, crop).
+    A tile with a halo of crop - 1 cells below and to the right holds all windows that start in it, of all overlaps:
+    each pixel is shuffled to its tile and the halos it lies in, not to every window. A window gives the pixels that
+    it writes last; those of a tile's windows form one rectangle. `load`, run once in a task, gives a function from
+    (bands, crop, crop), cleaned, to probabilities (crop, crop). masked: null where the first band has no data.
     """
-    spark = factors.sparkSession
-    wins = windows.prediction_windows(spark, height, width, crop, list(overlaps))
-    runs = F.array(*[F.lit(o) for o in overlaps])
-    d = factors.withColumn("overlap", F.explode(runs))
-    stride = F.lit(crop) - F.col("overlap")
-
-    def holding(x: str, n: int):
-        last = F.ceil((F.lit(n) - F.col("overlap")) / stride) - 1
-        lo = F.greatest(F.lit(0), F.ceil((F.col(x) - crop + 1) / stride))
-        hi = F.least(F.floor(F.col(x) / stride), last)
-        return F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
-
-    d = d.withColumn("_wr", F.explode(holding("r", height))).withColumn("_wc", F.explode(holding("c", width)))
-    d = d.withColumn("win_r", (F.col("_wr") * stride).cast("int")).withColumn("win_c", (F.col("_wc") * stride).cast("int"))
-    d = d.join(wins.select("overlap", F.col("r").alias("win_r"), F.col("c").alias("win_c")), ["overlap", "win_r", "win_c"], "left_semi").select("overlap", "win_r", "win_c", "r", "c", "f")
-
-    held: list[Callable[[np.ndarray], np.ndarray]] = []  # the scorer, loaded once in each task
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        o, wr, wc = (int(pdf[k].iloc[0]) for k in ("overlap", "win_r", "win_c"))
-        x = np.zeros((num_bands, crop, crop), np.float32)
-        rr, cc = pdf["r"].to_numpy() - wr, pdf["c"].to_numpy() - wc
-        x[:, rr, cc] = np.clip(np.nan_to_num(np.stack(pdf["f"].to_numpy()).astype(np.float32)), 0, 1).T
-        if not held:
-            held.append(load())
-        return pd.DataFrame({"overlap": o, "win_r": wr, "win_c": wc, "r": pdf["r"], "c": pdf["c"], "p": held[0](x)[rr, cc].astype(float)})
+    count = {o: (windows.n_starts(height, crop, o), windows.n_starts(width, crop, o)) for o in overlaps}
+    runs = [o for o in overlaps if min(count[o])]
+    bands = [f"b{i}" for i in range(num_bands)]
+    held: list[Callable[[np.ndarray], np.ndarray]] = []
 
-    from ..session import ship_package
+    def span(start: int, size: int, n: int, stride: int, k: int) -> tuple[range, int]:
+        """Starts of the windows in start .. start + size, and where the pixels that they own end."""
+        first, after = -(-start // stride), min(k, -(-(start + size) // stride))
+        return range(first * stride, after * stride, stride), n if after == k else after * stride
 
-    ship_package(spark)
-    scored = d.groupBy("overlap", "win_r", "win_c").applyInPandas(one, "overlap int, win_r int, win_c int, r int, c int, p double")
-    mine = (F.col("win_r") == owner(F.col("r"), height, crop, F.col("overlap"))) & (F.col("win_c") == owner(F.col("c"), width, crop, F.col("overlap")))
-    return scored.where(mine).select("overlap", "r", "c", "p")
+    def work(x: tiles.Halo) -> dict[str, np.ndarray]:
+        if not held:
+            held.append(load())
+        raw = np.stack([x.arrays[b] for b in bands])
+        clean = np.clip(np.nan_to_num(raw.astype(np.float32)), 0, 1)
+        out = {}
+        for o in runs:
+            rows, end = span(x.r0, x.h, height, crop - o, count[o][0])
+            cols, right = span(x.c0, x.w, width, crop - o, count[o][1])
+            p = np.zeros((max(0, end - rows.start) if len(rows) else 0, max(0, right - cols.start) if len(cols) else 0))
+            for r in rows if p.size else ():
+                for c in cols:
+                    win = np.zeros((num_bands, crop, crop), np.float32)
+                    cut = clean[:, r - x.r0 : r - x.r0 + crop, c - x.c0 : c - x.c0 + crop]
+                    win[:, : cut.shape[1], : cut.shape[2]] = cut
+                    h = (end if r == rows[-1] else r + crop - o) - r
+                    w = (right if c == cols[-1] else c + crop - o) - c
+                    p[r - rows.start : r - rows.start + h, c - cols.start : c - cols.start + w] = held[0](win)[:h, :w]
+            if masked and p.size:
+                known = raw[0][rows.start - x.r0 :, cols.start - x.c0 :][: p.shape[0], : p.shape[1]]
+                p[np.isnan(known)] = np.nan
+            out[f"p{o}"] = p
+        return out
+
+    if not runs:
+        return stack.sparkSession.createDataFrame([], "overlap int, r int, c int, p double")
+    scored = tiles.stencil(stack, bands, crop - 1, height, width, work, {f"p{o}": "double" for o in runs}, tile, before=0)
+    start = lambda at, s: (F.ceil(F.col(at) / F.lit(s)) * s).cast("int")
+
+    def wide(o: int):
+        s, k = crop - o, count[o][1]
+        last = F.ceil((F.col("c0") + F.col("w")) / F.lit(s)) >= k
+        return (F.when(last, F.lit(width)).otherwise(F.ceil((F.col("c0") + F.col("w")) / F.lit(s)) * s) - start("c0", s)).cast("int")
+
+    parts = F.array(*[F.struct(F.lit(o).alias("overlap"), start("r0", crop - o).alias("r0"), start("c0", crop - o).alias("c0"), wide(o).alias("w"), F.col(f"p{o}").alias("p")) for o in runs])
+    return tiles.to_cells(scored.select(F.explode(parts).alias("x")).select("x.*"), ["p"], keep=["overlap"])
+
+
+def windowed(factors: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, tile: int | None = None) -> DataFrame:
+    """overlap, r, c, p of `windowed_tiles` over cells r, c, f (array of bands). tile: two crops a side if not given."""
+    tile = tile or 2 * crop
+    bands = [f"b{i}" for i in range(num_bands)]
+    flat = factors.select("r", "c", *[F.get("f", F.lit(i)).cast("float").alias(b) for i, b in enumerate(bands)])
+    return windowed_tiles(tiles.from_cells(flat, bands, height, width, tile), height, width, crop, overlaps, load, num_bands, tile)
 
 
 def risk_map(maps: DataFrame, base: DataFrame | None = None, pixel: tuple[str, ...] = ("r", "c")) -> tuple[DataFrame, DataFrame]:
@@ -71,11 +92,17 @@ def risk_map(maps: DataFrame, base: DataFrame | None = None, pixel: tuple[str, .
     return m, mosaic.risk_histogram(m)
 
 
-def run(factors: DataFrame, out: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, crop: int = 512, overlaps: Sequence[int] = OVERLAPS, base: DataFrame | None = None) -> None:
-    """Factors (r, c, band, v) to `maps` (one run for each overlap), `risk` (median raster) and `risk_csv` under `out`."""
+def run(factors: DataFrame, out: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, crop: int = 512, overlaps: Sequence[int] = OVERLAPS, base: DataFrame | None = None, nodata: float | None = -9999.0, tile: int | None = None) -> None:
+    """Factors (r, c, band, v) to `maps` (one run for each overlap), `risk` (median raster) and `risk_csv` under `out`.
+
+    Pixels without data in the first factor are scored as zeros, where a window needs them, and masked in the maps;
+    so neither the median raster nor the statistics have them. Such are null, NaN and, if given, `nodata`.
+    """
     height, width = rasters.bounds(factors)
-    stack = score.band_stack(factors.withColumn("v", clean_factor(F.col("v"))))
-    windowed(stack, height, width, crop, overlaps, load, num_bands).write.mode("overwrite").partitionBy("overlap").parquet(f"{out}/maps")
+    tile = tile or 2 * crop
+    known = factors.withColumn("v", null_nodata(F.col("v"), nodata))
+    stack = tiles.from_bands(known, num_bands, height, width, tile)
+    windowed_tiles(stack, height, width, crop, overlaps, load, num_bands, tile, masked=True).write.mode("overwrite").partitionBy("overlap").parquet(f"{out}/maps")
     median, _ = risk_map(factors.sparkSession.read.parquet(f"{out}/maps"), base)
     rasters.write(median, f"{out}/risk", value="p")
     risk = factors.sparkSession.read.parquet(f"{out}/risk").select(F.nullif(F.col("p"), F.lit(-9999.0).cast("float")).cast("double").alias("p"))

@@ -257,15 +257,18 @@ def stratified_split(spark, sf_dir):
 def patch_slices(spark, sf_dir):
     labels = fixtures.labels(spark, sf_dir)
     kept = sample.contained(sample.balanced(labels, fixtures.LABEL_WIDTH), *_size(labels), BLOCK, CROP)
-    d = sample.patches(kept.select("r", "c"), labels, CROP, tile=64)
-    return d.groupBy("patch_r", "patch_c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("code") * (F.col("dr") * 8 + F.col("dc"))).cast("decimal(38,0)").alias("checksum"))
+    codes = tiles.from_cells(labels, ["code"], *_size(labels), 16)
+    d = sample.patch_arrays(kept.select("r", "c"), codes, ["code"], CROP, 16)
+    checksum = F.aggregate(F.transform("code", lambda x, i: x.cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("patch_r", "patch_c", F.size("code").cast("long").alias("n"), checksum.cast("decimal(38,0)").alias("checksum"))
 
 
 @query("SELECT d.doc_id, d.source, l.quality, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END target FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 def patch_pairs(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    y = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return d.join(y, "doc_id").select("doc_id", "source", "quality", F.when(F.col("quality") == 1, 1).otherwise(0).alias("target"))
+    """Documents and labels as the two sides of patches, of which those with both are paired."""
+    side = lambda name, *more: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.lit("train").alias("split"), (F.col("doc_id") % 2).cast("string").alias("cls"), F.col("doc_id").alias("r"), F.lit(0).alias("c"), *more)
+    d = patches.pair(side("documents", "source"), side("labels", "quality"))
+    return d.select(F.col("r").alias("doc_id"), "source", "quality", F.when(F.col("quality") == 1, 1).otherwise(0).alias("target"))
 
 
 @query(f"WITH {WRITES} SELECT * FROM runs")
@@ -554,3 +557,16 @@ def risk_workflow(spark, sf_dir):
     out = new_folder(spark, "workflow")
     predict.run(fixtures.factors(spark, sf_dir), out, _linear_windows, 20, 8, [2, 3])
     return spark.read.option("header", True).csv(f"{out}/risk_csv").toDF("risk_level", "pixel_count", "percentage")
+
+
+MASKED = "CASE WHEN clean.band = 0 AND (r + c) % 6 = 0 THEN 0::DOUBLE ELSE v END"
+
+
+@query(f"WITH {FACTOR}, {W_SQL}, s AS (SELECT r, c, 1 / (1 + exp(0.125::DOUBLE - sum({MASKED} * wt))) p FROM clean JOIN w ON w.band = clean.band GROUP BY r, c), n AS (SELECT least(CAST(floor(p * 5) AS INT), 4) bin, count(*) k FROM s WHERE (r + c) % 6 <> 0 GROUP BY 1) SELECT risk_level, CAST(coalesce(k, 0) AS VARCHAR) pixel_count, printf('%.2f%%', coalesce(k, 0) * 100::DOUBLE / (SELECT sum(k) FROM n)) AS percentage FROM (VALUES (0, 'Very Low'), (1, 'Low'), (2, 'Medium'), (3, 'High'), (4, 'Very High')) t(b, risk_level) LEFT JOIN n ON bin = b")
+def risk_workflow_masked(spark, sf_dir):
+    """The prediction workflow where the first factor lacks data at every sixth pixel: these are in no map and no count."""
+    out = new_folder(spark, "workflow")
+    factors = fixtures.factors(spark, sf_dir)
+    gone = (F.col("band") == 0) & ((F.col("r") + F.col("c")) % 6 == 0)
+    predict.run(factors.withColumn("v", F.when(gone, F.lit(-9999.0)).otherwise(F.col("v"))), out, _linear_windows, 20, 8, [2, 3])
+    return spark.read.option("header", True).csv(f"{out}/risk_csv").toDF("risk_level", "pixel_count", "percentage")
