@@ -468,91 +468,84 @@ def test_base_score_is_exact(corpus, scored):
 
 
 def test_scores_against_brute_force(corpus, scored):
-    """Every word by dictionaries of contexts: attention and unigram for what the discounted counts of other rows leave."""
+    """Every word by itself: the model's ids one window at a time by `forward`, and the unigram by a dictionary."""
     out, (head, stats, model) = scored
-    words = lm_scoring.Words(head, lm_scoring.default_tokenizer())
-    poster = lm_scoring.Poster(model, words, stats)
+    encoder = lm_scoring.Encoder.load(lm_scoring.default_tokenizer())
     texts = {i: lm_scoring.words_of(t) for i, t in corpus.items()}
-    grams = {i: [(tuple(x), w) for w, *x in zip([*t, b""], [None, *t], [None, None, *t], [None, None, None, *t])] for i, t in texts.items()}
     teach = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
-    use, kinds = collections.Counter(), collections.defaultdict(collections.Counter)
-    for i in teach:
-        for h, w in grams[i]:
-            kinds[h][w] += 1
-            use[h] += 1
     count = collections.Counter(w for i in teach for w in [*texts[i], b""])
-    assert not len(stats.common) and stats.tokens == sum(count.values()) and stats.counts[0] == len(teach)
+    assert stats.tokens == sum(count.values()) and stats.counts[0] == len(teach)
     got = {r["doc_id"]: r["score"] for r in out}
-    for i, t in texts.items():
-        slots = words.slots([t])
-        score, known = poster.word_scores(slots, np.array([len(t) + 1]))
-        own = collections.Counter(grams[i]) if i in teach else {}
-        mine = collections.Counter(h for h, _ in grams[i]) if i in teach else {}
-        total = 0.0
-        for (h, w), s, k in zip(grams[i], score, known):
-            p = 10**s + (0 if k else lm_scoring.UNIGRAM_WEIGHT * count[w] / stats.tokens)
-            n = use[h] - mine.get(h, 0)
-            if n:
-                m = kinds[h][w] - own.get((h, w), 0)
-                left = sum(v > own.get((h, x), 0) for x, v in kinds[h].items())
-                p = max(m - lm_scoring.DISCOUNT, 0) / n + lm_scoring.DISCOUNT * left / n * p
-            total += np.log10(p)
-        assert abs(total - got[i]) < 3e-4 * abs(total) + 0.01, i
+    lead = lm_scoring.WINDOW - lm_scoring.SCORED
+    for i in sorted(texts, key=lambda i: len(texts[i]))[:120]:
+        each = [*[encoder.word(w) for w in texts[i]], [encoder.end]]
+        ids = np.array(sum(each, []))
+        p, begins = np.zeros(len(ids)), np.zeros(len(ids))
+        for lo in range(0, len(ids), lm_scoring.SCORED):
+            before = np.concatenate([np.full(lead + 1, encoder.end), ids])[lo : lo + lm_scoring.WINDOW]
+            before = np.concatenate([before, np.full(lm_scoring.WINDOW - len(before), encoder.end)])
+            g = model.forward(before[None])[0][0]
+            for k, y in enumerate(ids[lo : lo + lm_scoring.SCORED]):
+                p[lo + k], begins[lo + k] = np.log10(g[k] @ model.table[y]), np.log10(g[k] @ model.table[model.starts].sum(0))
+        total, at = 0.0, 0
+        for w, x in zip([*texts[i], b""], each, strict=True):
+            own = p[at : at + len(x)].sum() - begins[at] + (begins[at + len(x)] if w else 0)
+            total += np.log10((1 - lm_scoring.UNIGRAM_WEIGHT) * 10**own + lm_scoring.UNIGRAM_WEIGHT * count[w] / stats.tokens)
+            at += len(x)
+        assert abs(total - got[i]) < 1e-3 * abs(total) + 1e-3, i
+
+
+def test_scores_do_not_depend_on_layout(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 50)
+    d = spark.createDataFrame(list(corpus.items())[:90], "doc_id long, text string")
+    one, other = ({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm_scoring.score_documents(d.repartition(n), HELD).collect()} for n in (1, 5))
+    assert all(one[i] == pytest.approx(other[i], rel=1e-4) for i in one) and len(one) == 90
 
 
 def test_words_share_a_mass_of_one(corpus, scored):
     """After a text's beginning, all words and the end together have a probability of 1 at most; an early word takes no part of a longer one."""
     _, (head, stats, model) = scored
     words = lm_scoring.Words(head, lm_scoring.default_tokenizer())
-    poster = lm_scoring.Poster(model, words, stats)
     begin = lm_scoring.words_of(next(t for t in corpus.values() if t and len(t) > 500))[:7]
     pieces = [words.encoder.encoding.decode_bytes([i]).strip() for i in range(0, 50000, 9)]
     tried = list(dict.fromkeys([w for t in corpus.values() for w in lm_scoring.words_of(t)] + [w for w in (p.lower() for p in pieces) if w and len(w.split()) == 1]))
     texts = [[*begin, w] for w in tried] + [begin]
     tokens = np.array([len(t) + 1 for t in texts])
-    score, _ = poster.word_scores(words.slots(texts), tokens)
+    score, _ = lm_scoring.word_scores(model, words, stats, words.slots(texts), tokens)
     mass = (10 ** score[np.cumsum(tokens) - 2][:-1]).sum() + 10 ** score[-1]
     rare = lm_scoring.UNIGRAM_WEIGHT * (1 - stats.counts.sum() / stats.tokens)
     assert 0.3 < mass < 1 - rare + 1e-6
 
 
-def test_memory_leaves_out_a_rows_own_words():
-    rng = random.Random(5)
-    n = 400
-    h, w, doc = ([rng.randrange(k) for _ in range(n)] for k in (12, 4, 30))
-    teach = [d % 4 != 1 for d in doc]
-    order = sorted(range(n), key=lambda i: doc[i])
-    h, w, doc, teach = ([x[i] for i in order] for x in (h, w, doc, teach))
-    key = (np.array(h, np.uint64) << lm_scoring.WORD_BITS) | np.array(w, np.uint64)
-    mem, left = lm_scoring.remembered(key, np.array(teach), np.array(doc))
-    for i in range(n):
-        others = collections.Counter(w[j] for j in range(n) if h[j] == h[i] and teach[j] and not (teach[i] and doc[j] == doc[i]))
-        total = sum(others.values())
-        want = (max(others[w[i]] - 0.75, 0) / total, 0.75 * len(others) / total) if total else (0, 1)
-        assert np.allclose((mem[i], left[i]), want)
-    assert lm_scoring.remembered(key[:0], np.zeros(0, bool), np.zeros(0, int))[0].size == 0
-
-
 def test_tables_learn_from_every_training_row(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 1)
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 2)
-    monkeypatch.setattr(lm_scoring, "COMMON_LEAST", 8)
     kept = []
     real = lm_scoring.observe
     monkeypatch.setattr(lm_scoring, "observe", lambda *a: kept.append((a[0], a[1], *real(*a))) or kept[-1][2:])
-    rows = [(i, "the cat sat on the mat " * 40 if i % 2 else "red green blue " * 40) for i in range(400)]
-    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id >= 380").collect()
+    rows = [(i, f"the cat sat on the mat {i} " * 40 if i % 2 else "red green blue " * 40) for i in range(100)]
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id >= 80").collect()
     before, head, stats, model = kept[0]
     encoder = lm_scoring.Encoder.load(lm_scoring.default_tokenizer())
-    ids = collections.Counter(i for k, t in rows if k < 380 for w in lm_scoring.words_of(t) for i in encoder.word(w))
-    ids[encoder.end] = 380
-    u = np.array([ids[i] for i in range(encoder.size)])
-    assert np.allclose(model.shares, u / u.sum(), atol=0.03) and np.allclose(model.table.sum(0, dtype=float), 1, atol=1e-4)
-    assert stats.tokens == 190 * 241 + 190 * 121 and stats.counts[0] == 380 and len(head) == 2
-    assert len(stats.common) and not np.allclose(before.table, model.table, atol=0.01)  # hot contexts have no bucket
+    ids = collections.Counter(i for k, t in rows if k < 80 for w in lm_scoring.words_of(t) for i in encoder.word(w))
+    ids[encoder.end] = 80
+    u = np.array([ids[i] for i in range(encoder.size)]) + 0.01
+    assert np.allclose(model.shares, u / u.sum(), rtol=1e-6) and np.allclose(model.table.sum(0, dtype=float), 1, atol=1e-4)
+    assert stats.tokens == 40 * 281 + 40 * 121 and stats.counts[0] == 80 and len(head) == 2
+    assert not np.allclose(before.table, model.table, atol=0.01)
     assert all(-3 * r["n_tokens"] < r["score"] < 0 for r in out)
 
 
+def test_attention_beats_the_base_on_held_out_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    out = queries.QUERIES["op2_lm_scoring"](spark, sf).collect()
+    seen = {texts[r["doc_id"]] for r in out if not r["held_out"]}
+    new = [r for r in out if r["held_out"] and texts[r["doc_id"]] and texts[r["doc_id"]] not in seen]
+    assert len(out) == 1000 and len(new) > 100 and sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
+
+
 def test_scores_on_awkward_rows(spark, awkward, nothing, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SAMPLE_ROWS", 20)
     odd = lm_scoring.score_documents(awkward, "doc_id = 3").collect()
