@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,7 +83,47 @@ class Plateau:
         return self.rate
 
 
-def learning_rates(log: DataFrame, rate: float = 1e-4, patience: int = 5) -> list[tuple[int, float]]:
-    """(epoch, rate after it) of the schedule; the log has one row an epoch."""
-    schedule = Plateau(rate, patience=patience)
-    return [(epoch, schedule.step(f1)) for epoch, f1 in log.select("epoch", "f1").orderBy("epoch").toLocalIterator()]
+def learning_rates(log: DataFrame, rate: float = 1e-4, patience: int = 5, factor: float = 0.5, least: float = 1e-6, threshold: float = 1e-4, by: Sequence[str] = ()) -> DataFrame:
+    """`by`, epoch, rate (after the epoch) of `Plateau` replayed over logs (by, epoch, f1), one for each run.
+
+    A run's epochs are folded in order by one expression: all runs in one job, a row for each epoch.
+    """
+    runs = log.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("epoch", "f1"))).alias("_log"))
+    number = lambda v, k: F.lit(v).cast(k)
+    empty = F.array().cast(f"array<struct<epoch:{log.schema['epoch'].dataType.simpleString()},rate:double>>")
+    start = F.struct(number(float("-inf"), "double").alias("best"), number(0, "int").alias("bad"), number(rate, "double").alias("rate"), empty.alias("out"))
+
+    def step(s, x):
+        better = x["f1"] > F.when(s["best"] > 0, s["best"] * (1 + threshold)).otherwise(s["best"])
+        bad = F.when(better, 0).otherwise(s["bad"] + 1)
+        falls = bad > patience
+        now = F.when(falls, F.greatest(s["rate"] * factor, F.lit(least))).otherwise(s["rate"])
+        row = F.struct(x["epoch"].alias("epoch"), now.alias("rate"))
+        return F.struct(F.when(better, x["f1"].cast("double")).otherwise(s["best"]).alias("best"), F.when(falls, 0).otherwise(bad).alias("bad"), now.alias("rate"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    folded = runs.select(*by, F.explode(F.aggregate("_log", start, step, lambda s: s["out"])).alias("x"))
+    return folded.select(*by, "x.epoch", "x.rate")
+
+
+def observed(rows: DataFrame, y: str = "y", pred: str = "pred") -> tuple[DataFrame, Observation]:
+    """`rows`, and their counts n, tp, fp, fn, tn, which the first action over them fills in on its way."""
+    seen, real = Observation(), F.col(y) != IGNORED
+    hit = lambda a, b: F.count(F.when((F.col(y) == a) & (F.col(pred) == b), 1))
+    return rows.observe(seen, F.count(F.when(real, 1)).alias("n"), hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn")), seen
+
+
+def rates(n: int, tp: int, fp: int, fn: int, tn: int) -> dict[str, float]:
+    """precision, recall, f1, accuracy of class 1; 0 where undefined."""
+    ratio = lambda a, b: a / b if b else 0.0
+    return {"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, n)}
+
+
+LOG = "run string, epoch int, n long, tp long, fp long, fn long, tn long, precision double, recall double, f1 double, accuracy double, loss double"
+
+
+def append_log(spark: SparkSession, path: str, run: str, epoch: int, seen: Observation, loss: float | None = None) -> dict[str, float]:
+    """Append what was observed to the log table under `path`, one row an epoch; returns the row's metrics."""
+    counts = {k: int(v or 0) for k, v in seen.get.items()}
+    made = rates(**counts)
+    spark.createDataFrame([(run, epoch, *(counts[k] for k in ("n", "tp", "fp", "fn", "tn")), *made.values(), loss)], LOG).write.mode("append").parquet(path)
+    return made

@@ -1,15 +1,13 @@
-"""Scorers: a linear one in expressions, and any batch function through Arrow."""
+"""The linear scorer, in expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import class_one
-from ..session import ship_package
 
 
 def band_stack(factors: DataFrame) -> DataFrame:
@@ -26,15 +24,3 @@ def linear_logit(factors: DataFrame, weights: Sequence[float], bias: float) -> D
 def linear_score(factors: DataFrame, weights: Sequence[float], bias: float) -> DataFrame:
     """r, c, p: probability of class 1, the other logit being 0."""
     return linear_logit(factors, weights, bias).select("r", "c", class_one(F.lit(0.0), F.col("l1")).alias("p"))
-
-
-def score_batches(windows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Any scorer: `load` runs once in each task and gives a function from a batch of windows to its rows."""
-    ship_package(windows.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = load()
-        for batch in batches:
-            yield score(batch)
-
-    return windows.mapInPandas(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drainage, flood, rank, tiles
 from ..session import staged
+from ..sources import rasters
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,20 @@ def joint(cells: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def susceptibility(dem: DataFrame, height: int, width: int, s: Settings = Settings()) -> DataFrame:
     """r, c, ps_l: 0 for valid cells outside slope units, null for nodata."""
+    return _index(staged(drainage.unit_labels(staged(drained(dem, height, width, s), "drained-cells")), "labelled"), height, width, s)
+
+
+def run(dem: DataFrame, out: str, s: Settings = Settings(), intermediates: bool = True) -> None:
+    """Rasters `ps_l` and, if asked for, `beta` and `flow_acc` under `out`, from a dense elevation grid; one drainage pass for all."""
+    height, width = rasters.bounds(dem)
     cells = staged(drainage.unit_labels(staged(drained(dem, height, width, s), "drained-cells")), "labelled")
+    if intermediates:
+        rasters.write(cells.select("r", "c", F.col("beta").alias("v")), f"{out}/beta")
+        rasters.write(cells.select("r", "c", F.col("acc").cast("double").alias("v")), f"{out}/flow_acc")
+    rasters.write(_index(cells, height, width, s).withColumnRenamed("ps_l", "v"), f"{out}/ps_l")
+
+
+def _index(cells: DataFrame, height: int, width: int, s: Settings) -> DataFrame:
     units = staged(rank.unit_maximum(rank.joint_probability(cells.where(F.col("slope") >= s.min_slope))), "units")
     out = rank.spread_units(cells, units).select("r", "c", "ps_l")
     if not s.sigma:

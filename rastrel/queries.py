@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.cells import clean_factor, int_list, null_nodata, strip_module
-from .operators import attrib, drainage, flood, metrics, mosaic, network, rank, sample, score, smooth, terrain, tiles, windows
-from .plans import fixtures, morphometric, predict, prepare, train
+from .operators import attrib, drainage, flood, loader, metrics, mosaic, network, rank, sample, score, smooth, terrain, tiles, windows
+from .plans import explain, fixtures, morphometric, predict, prepare, train
 from .session import new_folder, staged
-from .sources import catalog, config, patches, rasters, reports
+from .sources import catalog, config, patches, rasters, reports, weights
 
 WEIGHTS = [((b % 5) - 2) * 0.25 for b in range(20)]
 BIAS = -0.125
@@ -487,7 +488,8 @@ def factor_names_tiff(spark, sf_dir):
 def config_projection(spark, sf_dir):
     """First matches in the order asked for; a missing name is left out."""
     params = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS position", "concat('p', n_regionkey) AS name", "n_name AS value")
-    return spark.createDataFrame(list(enumerate(config.project(params, ["p3", "absent", "p0"], strict=False))), "position int, value string")
+    found = config.projected(params, ["p3", "absent", "p0"])
+    return found.select((F.row_number().over(Window.orderBy("position")) - 1).cast("int").alias("position"), "value")  # a row for each name
 
 
 @query("SELECT doc_id, CAST(doc_id * 7 % 11 < n_chars % 11 AS INT) pred FROM documents")
@@ -499,7 +501,110 @@ def hard_class(spark, sf_dir):
 @query(f"WITH RECURSIVE {LOG}, o AS (SELECT epoch, f1, row_number() OVER (ORDER BY epoch) i FROM lg), st AS (SELECT 0::BIGINT i, 0::INT epoch, -1::DOUBLE best, 0::INT bad, 1e-4::DOUBLE rate UNION ALL SELECT i, epoch, CASE WHEN worse THEN best ELSE f1 END, CASE WHEN worse AND bad < 2 THEN bad + 1 ELSE 0 END, CASE WHEN worse AND bad >= 2 THEN greatest(rate / 2, 1e-6::DOUBLE) ELSE rate END FROM (SELECT o.i, o.epoch, o.f1, st.best, st.bad, st.rate, o.f1 <= CASE WHEN st.best > 0 THEN st.best * 1.0001::DOUBLE ELSE st.best END worse FROM st JOIN o ON o.i = st.i + 1)) SELECT epoch, rate FROM st WHERE i > 0")
 def plateau_rates(spark, sf_dir):
     log = metrics.binary_metrics(fixtures.predictions(spark, sf_dir), ["g"]).select((F.substring("g", 4, 9).cast("int") + 1).alias("epoch"), _r("f1"))
-    return spark.createDataFrame(metrics.learning_rates(log, patience=2), "epoch int, rate double")
+    return metrics.learning_rates(log, patience=2)
+
+
+RUNS = f"{PRED}, lg AS (SELECT CAST(doc_id % 3 AS INT) run, CAST(substr(g, 4) AS INT) + 1 epoch, round(coalesce(2 * count(*) FILTER (y = 1 AND pred = 1) / nullif(2 * count(*) FILTER (y = 1 AND pred = 1) + count(*) FILTER (y = 0 AND pred = 1) + count(*) FILTER (y = 1 AND pred = 0), 0)::DOUBLE, 0), 6) f1 FROM pr WHERE y <> -1 GROUP BY 1, 2)"
+
+
+@query(f"WITH RECURSIVE {RUNS}, o AS (SELECT run, epoch, f1, row_number() OVER (PARTITION BY run ORDER BY epoch) i FROM lg), st AS (SELECT DISTINCT run, 0::BIGINT i, 0::INT epoch, -1::DOUBLE best, 0::INT bad, 1e-4::DOUBLE rate FROM lg UNION ALL SELECT run, i, epoch, CASE WHEN worse THEN best ELSE f1 END, CASE WHEN worse AND bad < 1 THEN bad + 1 ELSE 0 END, CASE WHEN worse AND bad >= 1 THEN greatest(rate / 2, 1e-6::DOUBLE) ELSE rate END FROM (SELECT o.run, o.i, o.epoch, o.f1, st.best, st.bad, st.rate, o.f1 <= CASE WHEN st.best > 0 THEN st.best * 1.0001::DOUBLE ELSE st.best END worse FROM st JOIN o ON o.run = st.run AND o.i = st.i + 1)) SELECT run, epoch, rate FROM st WHERE i > 0")
+def plateau_runs(spark, sf_dir):
+    """The schedule of several runs' logs in one job."""
+    rows = fixtures.predictions(spark, sf_dir).withColumn("run", (F.col("doc_id") % 3).cast("int"))
+    log = metrics.binary_metrics(rows, ["run", "g"]).select("run", (F.substring("g", 4, 9).cast("int") + 1).alias("epoch"), _r("f1"))
+    return metrics.learning_rates(log, patience=1, by=["run"])
+
+
+PERMUTED = "list_reduce(list_prepend(i, range(16)), lambda x, r: CASE WHEN (greatest(x, (((5 * 7919 + 3 * 104729 + r * 613) * 7919 % 65537 * 65543 % n - x) % n + n) % n) % 65537 * 7919 + (5 * 104729 + 3 * 7919 + r * 977) % 65537) % 65537 % 2 = 1 THEN (((5 * 7919 + 3 * 104729 + r * 613) * 7919 % 65537 * 65543 % n - x) % n + n) % n ELSE x END)"
+
+
+@query(f"SELECT doc_id, CAST(place AS BIGINT) place, CAST(place // 16 AS BIGINT) batch FROM (SELECT doc_id, n, {PERMUTED} place FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 i, count(*) OVER () n FROM documents)) WHERE place // 16 < n // 16")
+def epoch_batches(spark, sf_dir):
+    """Batches of the third epoch: its own order, the incomplete last batch dropped."""
+    rows = staged(loader.indexed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id"), "indexed")
+    return loader.batches(rows, rows.count(), 16, epoch=3, seed=5, drop_last=True).select("doc_id", "place", "batch")
+
+
+@query(f"WITH {PRED}, k AS (SELECT CAST(epoch AS INT) epoch, count(*) n, count(*) FILTER (y = 1 AND pred = 1) tp, count(*) FILTER (y = 0 AND pred = 1) fp, count(*) FILTER (y = 1 AND pred = 0) fn, count(*) FILTER (y = 0 AND pred = 0) tn FROM pr, range(1, 4) t(epoch) WHERE y <> -1 AND doc_id % epoch = 0 GROUP BY 1) SELECT epoch, n, tp, fp, fn, tn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) f1, round((tp + tn) / n::DOUBLE, 6) accuracy FROM k")
+def metrics_log(spark, sf_dir):
+    """Metrics that are observed while predictions are written, as the log table has them."""
+    out = new_folder(spark, "log")
+    for epoch in (1, 2, 3):
+        rows, seen = metrics.observed(fixtures.predictions(spark, sf_dir).where(F.col("doc_id") % epoch == 0))
+        rows.write.parquet(f"{out}/predictions-{epoch}")
+        metrics.append_log(spark, f"{out}/log", "test", epoch, seen)
+    return spark.read.parquet(f"{out}/log").select("epoch", "n", "tp", "fp", "fn", "tn", _r("f1"), _r("accuracy"))
+
+
+@query(f"WITH RECURSIVE {DEM}, {NEAR}, {FILLED}, {SLOPE}, {FLOW}, {UP}, {JOINT}, b AS (SELECT p.r, p.c, acc, beta FROM acc JOIN ptrs p ON p.id = acc.id) SELECT psl.r, psl.c, CAST(acc AS DOUBLE) flow_acc, round(CAST(beta AS DOUBLE), 4) beta, round(coalesce(CAST(p AS DOUBLE), -9999::DOUBLE), 4) ps_l FROM psl JOIN b ON b.r = psl.r AND b.c = psl.c")
+def morphometric_outputs(spark, sf_dir):
+    """The rasters of a whole run, as they are read back."""
+    out = new_folder(spark, "morphometric")
+    morphometric.run(fixtures.dem(spark, sf_dir), out, morphometric.Settings(tile=TILE))
+    read = lambda name: rasters.read(spark, f"{out}/{name}").select("r", "c", F.col("v").cast("double").alias(name))
+    return read("ps_l").join(read("beta"), ["r", "c"]).join(read("flow_acc"), ["r", "c"]).select("r", "c", "flow_acc", _r("beta", 4), _r("ps_l", 4))
+
+
+@query("SELECT 'v' || vec_id || '.weight' layer, CAST(len(embedding) AS INT) n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) total FROM embeddings")
+def weights_table(spark, sf_dir):
+    """Layers saved under a wrapper's names, read back under their own."""
+    path = new_folder(spark, "weights")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    weights.save(rows.select(F.concat(F.lit("module.v"), "vec_id", F.lit(".weight")).alias("layer"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("v")), path)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return weights.table(spark, path).select("layer", F.get("shape", F.lit(0)).alias("n"), F.round(total, 4).alias("total"))
+
+
+KINDS = "['int', 'float', 'bool', 'list', 'file']"
+
+
+@query(f"SELECT 'p' || p_partkey AS name, k AS type, CASE WHEN k = 'int' THEN CAST(p_size AS INT) END int_value, CASE WHEN k = 'float' THEN p_size / 4::DOUBLE END float_value, CASE WHEN k = 'bool' THEN p_size % 2 = 0 END bool_value, CASE WHEN k = 'list' THEN CAST(p_size AS INT) + CAST(p_size + 1 AS INT) END list_sum, CASE WHEN k = 'file' THEN p_size || '.tif' END string_value FROM (SELECT *, {KINDS}[p_partkey % 5 + 1] k FROM part)")
+def typed_parameters(spark, sf_dir):
+    """Configuration rows of all types, lists among them."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS position", "concat('p', p_partkey) AS name", "element_at(array('int', 'float', 'bool', 'list', 'file'), CAST(p_partkey % 5 AS INT) + 1) AS type", "p_size")
+    text = "CASE type WHEN 'int' THEN concat(' ', p_size) WHEN 'float' THEN CAST(p_size / 4D AS STRING) WHEN 'bool' THEN IF(p_size % 2 = 0, 'True', 'False') WHEN 'list' THEN concat('[', p_size, ', ', p_size + 1, ']') ELSE concat(p_size, '.tif') END"
+    d = config.typed(rows.withColumn("value", F.expr(text)))
+    total = F.when(F.col("list_value").isNotNull(), F.aggregate("list_value", F.lit(0), lambda a, x: a + x))
+    return d.withColumn("list_sum", total).drop("list_value")
+
+
+@query(f"WITH {FILES}, names AS (SELECT * FROM (VALUES {NAMES_SQL}) t(file, name)), cats AS (SELECT * FROM (VALUES {CATS_SQL}) t(name, category)) SELECT DISTINCT coalesce(category, 'Unknown') category FROM (SELECT coalesce((SELECT min(name) FROM names WHERE translate(lower(file), '_ ', '') = translate(lower(replace(files.name, '.tif', '')), '_ ', '')), replace(files.name, '.tif', '')) name FROM files WHERE dir = '' AND files.name LIKE '%.tif') x LEFT JOIN cats ON cats.name = x.name")
+def listed_categories(spark, sf_dir):
+    """Distinct categories of the factors that a listing has."""
+    raw = catalog.raw_names(fixtures.files(spark, sf_dir))
+    return attrib.with_category(attrib.factor_names(raw, raw.count())).select("category").distinct()
+
+
+def _parameters(spark: SparkSession, **values: object) -> DataFrame:
+    return spark.createDataFrame([(i, k, str(v)) for i, (k, v) in enumerate(values.items())], "position long, name string, value string")
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    fit, held = (d.withColumn("key", F.col("r").cast("long") * 1000 + F.col("c")) for d in _split(spark, sf_dir))
+    return {"train": fit, "val": held.where("c % 2 = 0"), "test": held.where("c % 2 = 1")}
+
+
+def training_workflow(spark, sf_dir):
+    """A training run by configuration: the log of its epochs, and the test's metrics in the last row (epoch 0)."""
+    out = new_folder(spark, "run")
+    params = _parameters(spark, train_output=out, num_epochs=6, lr=0.05, patience=4, batch_size=8, num_bands=20)
+    tested = train.run(params, _splits(spark, sf_dir), workers=2)
+    log = spark.read.parquet(f"{out}/log").select("epoch", "n", "f1", "loss")
+    return log.unionByName(tested.select(F.lit(0).alias("epoch"), "n", "f1", F.lit(None).cast("double").alias("loss")))
+
+
+@query(f"WITH {ATTR}, {FILES}, names AS (SELECT * FROM (VALUES {NAMES_SQL}) t(file, name)), cats AS (SELECT * FROM (VALUES {CATS_SQL}) t(name, category)), tif AS (SELECT row_number() OVER (ORDER BY name) - 1 band, replace(name, '.tif', '') raw FROM files WHERE dir = '' AND name LIKE '%.tif'), named AS (SELECT CAST(b AS INT) band, coalesce((SELECT min(name) FROM names WHERE translate(lower(file), '_ ', '') = translate(lower(raw), '_ ', '')), raw, 'Band_' || (b + 1)) AS name FROM range(0, 20) t(b) LEFT JOIN tif ON tif.band = b) SELECT CAST(rank AS VARCHAR) rank, named.name AS factor, coalesce(category, 'Unknown') category, printf('%.6f', importance) AS importance FROM rk JOIN named ON named.band = rk.band LEFT JOIN cats ON cats.name = named.name")
+def attribution_workflow(spark, sf_dir):
+    """Saved weights, factors and their listing to the importance report."""
+    import numpy as np
+
+    out = new_folder(spark, "explained")
+    weights.write(spark, {"linear.weight": np.array([WEIGHTS]), "linear.bias": np.array([BIAS])}, f"{out}/model/best")
+    explain.run(_parameters(spark, train_output=f"{out}/model", num_bands=20), fixtures.factors(spark, sf_dir), fixtures.files(spark, sf_dir), F.col("r") < 4, out, (7, 5), 8)
+    return spark.read.option("header", True).csv(f"{out}/importance_csv").toDF("rank", "factor", "category", "importance")
+
+
+QUERIES |= {"training_workflow": training_workflow}
 
 
 @query(f"WITH {LABEL}, {BALANCED}, {KEPT}, sp AS ({SPLIT}) SELECT k.r, k.c, CASE WHEN any_value(k.code) = 1 THEN '1' ELSE '0' END cls, CAST(band AS INT) band, sum(((l.r * 7 + l.c * (band + 1)) % 9) / 8::DOUBLE * ((l.r - k.r + 4) * 8 + l.c - k.c + 5)) factor_sum, CAST(sum(CASE l.code WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END * ((l.r - k.r + 4) * 8 + l.c - k.c + 5)) AS BIGINT) target_sum FROM sp k JOIN lab l ON l.r BETWEEN k.r - 4 AND k.r + 3 AND l.c BETWEEN k.c - 4 AND k.c + 3, range(0, 2) t(band) WHERE k.split = 'train' GROUP BY k.r, k.c, band")

@@ -32,3 +32,9 @@ def project(params: DataFrame, names: Sequence[str], strict: bool = True) -> lis
     if missing and strict:
         raise KeyError(f"missing parameters: {', '.join(missing)}")
     return [found[n] for n in names if n in found]
+
+
+def projected(params: DataFrame, names: Sequence[str]) -> DataFrame:
+    """position (in `names`), value: the first match of each name; missing ones are left out."""
+    first = params.where(F.col("name").isin(list(names))).groupBy("name").agg(F.min_by("value", "position").alias("value"))
+    return first.select((F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")) - 1).cast("int").alias("position"), "value")

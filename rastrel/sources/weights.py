@@ -16,6 +16,11 @@ def write(spark: SparkSession, weights: Mapping[str, np.ndarray], path: str) ->
     spark.createDataFrame(rows, "layer string, shape array<int>, v array<float>").write.mode("overwrite").parquet(path)
 
 
+def save(layers: DataFrame, path: str) -> None:
+    """Rows (layer, shape, v) of any number of layers; nothing passes the driver."""
+    layers.select("layer", "shape", F.col("v").cast("array<float>").alias("v")).write.mode("overwrite").parquet(path)
+
+
 def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("layer", strip_module(F.col("layer")))
 
