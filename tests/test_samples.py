@@ -59,7 +59,15 @@ def test_early_stop_and_rate(spark):
     rows = metrics.best_epoch(log, patience=3).orderBy("epoch").collect()
     assert [r["epoch"] for r in rows] == [1, 2, 3, 4, 5] and rows[-1]["best_epoch"] == 2
     flat = spark.createDataFrame([(i, 0.5) for i in range(1, 9)], "epoch int, f1 double")
-    assert [r for _, r in metrics.learning_rates(flat)][-2:] == [5e-5, 5e-5]
+    rates = [r["rate"] for r in metrics.learning_rates(flat).orderBy("epoch").collect()]
+    assert rates[-2:] == [5e-5, 5e-5]
+    two = flat.withColumn("run", F.lit("a")).unionByName(log.withColumn("run", F.lit("b")))
+    got = {}
+    for r in metrics.learning_rates(two, patience=1, by=["run"]).orderBy("epoch").collect():
+        got.setdefault(r["run"], []).append(r["rate"])
+    for run, values in (("a", [0.5] * 8), ("b", [0.1, 0.3, 0.2, 0.3, 0.1, 0.9])):
+        schedule = metrics.Plateau(patience=1)
+        assert got[run] == [schedule.step(v) for v in values]
 
 
 def test_patch_tables(spark, tmp_path):
