@@ -10,7 +10,7 @@ from .functions.cells import clean_factor, int_list, null_nodata, strip_module
 from .operators import attrib, drainage, flood, loader, metrics, mosaic, network, rank, sample, score, smooth, terrain, tiles, windows
 from .plans import explain, fixtures, morphometric, predict, prepare, train
 from .session import new_folder, staged
-from .sources import catalog, config, patches, rasters, reports, weights
+from .sources import catalog, config, patches, rasters, reports, tilefiles, weights
 
 WEIGHTS = [((b % 5) - 2) * 0.25 for b in range(20)]
 BIAS = -0.125
@@ -604,6 +604,16 @@ def attribution_workflow(spark, sf_dir):
     return spark.read.option("header", True).csv(f"{out}/importance_csv").toDF("rank", "factor", "category", "importance")
 
 
+@query(f"WITH {DEM} SELECT r, c, z FROM dem WHERE r >= 3 AND r < 11 AND c >= 20 AND c <= 60")
+def tile_files(spark, sf_dir):
+    """A window of a raster in tile files; tiles outside it aren't read."""
+    path, dem = new_folder(spark, "tile-files"), fixtures.dem(spark, sf_dir)
+    h, w = _size(dem)
+    tilefiles.write(tiles.from_cells(dem, ["z"], h, w, 32), "z", path, h, w, 32)
+    window = tilefiles.read(spark, path).where("r >= 3 and r < 11 and c >= 20 and c <= 60")
+    return window.select("r", "c", F.col("v").cast("double").alias("z"))
+
+
 QUERIES |= {"training_workflow": training_workflow}
 
 
