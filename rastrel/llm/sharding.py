@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lookup import lookup
 from .common import n_buckets, running_total, staged
 
 GROUP = ["_g1", "_g2"]
@@ -88,8 +89,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFr
 
     Edges link rows with equal texts. Groups that fill whole shards get them first (`_whole`); the labels of what is
     left start round-robin, and each round moves blocks under capacity quotas (`_propagate`), until none moves; rows without an edge then fill each shard up to its quota, so that row counts are at most one
-    apart. Null text counts as empty (size 8, CRC 0); null doc_ids and repeated rows are rows like others; an
-    empty table gives no rows; other columns are ignored. A group larger than a shard fills whole shards first.
+    apart. Null text counts as empty (size 8, CRC 0); null doc_ids and repeated rows are rows like others, in order of
+    their texts' hashes where doc_ids tie, so the result doesn't depend on the table's layout; an empty table gives no
+    rows; other columns are ignored. A group larger than a shard fills whole shards first.
     """
     text = F.coalesce("text", F.lit(""))
     rows = staged(
@@ -99,7 +101,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFr
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("_g1"),
             F.xxhash64(F.lit("second"), text, F.octet_length(text)).alias("_g2"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("_h"),
+            F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(text))).alias("_h"),
         ),
         "shard-rows",
     )
@@ -129,20 +131,21 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFr
     # rows of a group take its blocks in order of their rank; a group has one block a shard at most
     ends = Window.partitionBy(*GROUP).orderBy("shard")
     spans = blocks.withColumn("_end", F.sum("n").over(ends)).groupBy(*GROUP).agg(F.sum("n").alias("group_rows"), F.array_sort(F.collect_list(F.struct("_end", "shard"))).alias("_spans"))
-    linked = rows.join(spans, GROUP, "left")
-    linked = staged(linked, "shard-linked")
-    ranked = running_total(linked.where("group_rows is not null"), GROUP, F.pmod("_h", n_buckets(F.col("group_rows"))), [F.col("_h"), F.col("doc_id")], F.lit(1), "_rank")
+    spans = staged(spans, "shard-spans")
+    linked = staged(lookup(rows, spans, GROUP, groups.select(*GROUP, F.col("group_rows").alias("n"))), "shard-linked")
+    order = [F.col("_h"), F.col("doc_id"), *map(F.col, GROUP)]
+    ranked = running_total(linked.where("group_rows is not null"), GROUP, F.pmod("_h", n_buckets(F.col("group_rows"))), order, F.lit(1), "_rank")
     placed = ranked.withColumn("shard", F.element_at(F.filter("_spans", lambda s: s["_end"] > F.col("_rank")), 1)["shard"])
 
     room = [q - f for q, f in zip(quotas, filled, strict=True)]
     singles = linked.where("group_rows is null")
-    singles = running_total(singles, [], F.pmod("_h", n_buckets(F.lit(total))), [F.col("_h"), F.col("doc_id")], F.lit(1), "_rank")
+    singles = running_total(singles, [], F.pmod("_h", n_buckets(F.lit(total))), order, F.lit(1), "_rank")
     cut = F.lit(shards - 1)
     for s in reversed(range(shards - 1)):
         cut = F.when(F.col("_rank") < sum(room[: s + 1]), F.lit(s)).otherwise(cut)
     singles = singles.withColumn("shard", cut)
 
-    columns = ["doc_id", "size", "text_crc32", "_h", F.col("shard").cast("int").alias("shard"), F.coalesce("group_rows", F.lit(1)).alias("group_rows")]
+    columns = ["doc_id", "size", "text_crc32", "_h", *GROUP, F.col("shard").cast("int").alias("shard"), F.coalesce("group_rows", F.lit(1)).alias("group_rows")]
     both = staged(placed.select(*columns).unionByName(singles.select(*columns)), "shard-placed")
-    slots = running_total(both, ["shard"], F.pmod("_h", n_buckets(F.lit(total / shards))), [F.col("_h"), F.col("doc_id")], F.lit(1), "slot")
+    slots = running_total(both, ["shard"], F.pmod("_h", n_buckets(F.lit(total / shards))), order, F.lit(1), "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_rows")

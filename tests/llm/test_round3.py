@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rastrel.llm import fim, mixing, pii, prefix_trie, quality_net, queries
+from rastrel.llm import fim, mixing, pii, prefix_trie, quality_net, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 NASTY = ["pos", "_part", "_n", "depth", "n", "form", "output", "score", "quality", "_h", "bytes", "own", "h", "base", "ka"]
@@ -253,3 +253,25 @@ def test_a_mix_does_not_depend_on_layout(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     take = lambda n: sorted(map(str, mixing.mix(d.repartition(n), budget=2500, keep=("text", "lang", "source", "n_chars")).collect()))
     assert take(3) == take(7) != []
+
+
+def test_shards_do_not_depend_on_layout(spark):
+    rows = [(None if i % 4 == 0 else i % 90, "copy" if i % 3 == 0 else f"text {i % 70}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    place = lambda n: sorted(map(str, sharding.shard_documents(d.repartition(n), 6).drop("law").collect()))
+    one = place(2)
+    assert one == place(5)
+    shards = collections.Counter(r.split("shard=")[1].split(",")[0] for r in one)
+    assert sum(shards.values()) == 400 and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_shards_keep_groups_together(spark):
+    """Few edges are cut: groups that fit into a shard are whole, but for what the counts' law takes."""
+    rows = [(i, f"group {i % 60}" if i < 240 else f"alone {i}") for i in range(600)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    where = collections.defaultdict(collections.Counter)
+    for r in got:
+        if r["doc_id"] < 240:
+            where[r["doc_id"] % 60][r["shard"]] += 1
+    uncut = sum(n * (n - 1) // 2 for c in where.values() for n in c.values())
+    assert uncut >= 0.9 * 60 * 6
