@@ -11,7 +11,8 @@ from .common import GAP, GAP_CHARS, let, staged
 
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-POS_BITS = 24
+#: Bits for a word's place beside its window's hash: enough for most texts, and for any string that Spark can hold.
+POS_BITS, ALL_BITS = 24, 31
 #: Statistics that rules may test, and the ratios they are made from.
 FEATURES = {
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
@@ -26,24 +27,28 @@ CUTS = (0.0, 0.02, 0.05, 0.1, 0.3, 0.5, 0.7, 0.85, 0.9, 0.94, 0.97, 1.0)
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more. Windows are sorted by (hash, position) in one long each."""
+    """Words in 3-word windows that occur twice or more."""
     n = F.size(w)
-    mask = (1 << POS_BITS) - 1
+    return F.when(n < 3, F.lit(0).cast("long")).when(n < 1 << POS_BITS, _covered(w, n, POS_BITS)).otherwise(_covered(w, n, ALL_BITS))
+
+
+def _covered(w: Column, n: Column, bits: int) -> Column:
+    """Windows are sorted by (hash, position) in one long each, of which the position has `bits` bits."""
+    mask = (1 << bits) - 1
     codes = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
 
     def repeated(s):
         def at(v):
             return v.bitwiseAND(F.lit(mask)).cast("int")
 
-        def same(a, b):  # by hash first, then by the words themselves
+        def same(a, b):  # by hash first, then by the words themselves: as an array's overlap these are looked at only then
             p, q = at(a), at(b)
-            return (F.shiftright(a, POS_BITS) == F.shiftright(b, POS_BITS)) & F.arrays_overlap(F.array(F.lit(True)), F.array((F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))))
+            return (F.shiftright(a, bits) == F.shiftright(b, bits)) & F.arrays_overlap(F.array(F.lit(True)), F.array((F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))))
 
         return F.filter(s, lambda v, i: F.coalesce(same(v, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(v, F.get(s, i + 1)), F.lit(False)))
 
     spots = let(F.array_sort(codes), lambda s: F.array_sort(F.transform(repeated(s), lambda v: v.bitwiseAND(F.lit(mask)))))
-    covered = let(spots, lambda p: F.aggregate(F.transform(p, lambda v, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - v, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x))
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(covered)
+    return let(spots, lambda p: F.aggregate(F.transform(p, lambda v, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - v, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -171,11 +176,11 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict of every row of `docs`: adds base_failed, rule (first that rejects, 0 none) and kept.
 
-    A labelled row counts once for each distinct (doc_id, quality); null labels don't count. Null text fails the
+    Rules are learnt from labelled rows that pass the base, so that none repeats it. A labelled row counts once for each distinct (doc_id, quality); null labels don't count. Null text fails the
     base; an empty table gives no rows; with no labels every row that passes the base is kept.
     """
     stats = staged(statistics(docs), "quality-stats")
     marked = stats.join(labels.select("doc_id", "quality").where("quality is not null").distinct(), "doc_id")
-    rules = learn_rules(marked)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    rules = learn_rules(marked.where(~failed))
     return stats.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

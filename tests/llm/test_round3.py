@@ -12,12 +12,17 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rastrel.llm import fim, mixing, pii, prefix_trie, quality_net, queries, sharding
+from rastrel.llm import fim, mixing, pii, prefix_trie, quality_net, quality_rules, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 NASTY = ["pos", "_part", "_n", "depth", "n", "form", "output", "score", "quality", "_h", "bytes", "own", "h", "base", "ka"]
 
 
+@pytest.fixture(scope="module")
+def corpus_texts():
+    return [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()]
+
+
 # ---- 11 ------------------------------------------------------------------------------------------------------------
 def brute_trie(rows):
     """Nodes of the rebuilt conversations by dictionaries; ties of turn by role and the digest of role and text."""
@@ -275,3 +280,18 @@ def test_shards_keep_groups_together(spark):
             where[r["doc_id"] % 60][r["shard"]] += 1
     uncut = sum(n * (n - 1) // 2 for c in where.values() for n in c.values())
     assert uncut >= 0.9 * 60 * 6
+
+
+def test_places_beyond_the_short_form(spark, corpus_texts, monkeypatch):
+    d = spark.createDataFrame(list(enumerate(corpus_texts)), "doc_id long, text string")
+    want = sorted(map(tuple, quality_rules.statistics(d).collect()))
+    monkeypatch.setattr(quality_rules, "POS_BITS", 4)  # texts of 16 words or more take the long form
+    assert sorted(map(tuple, quality_rules.statistics(d).collect())) == want
+
+
+def test_rules_do_not_repeat_the_base(spark):
+    labels = [(i, int(i >= 60)) for i in range(120)]
+    text = lambda i: ("again and again " * 30) if i < 30 else (f"w{i} $$$ " + " ".join(f"x{i}y{j}" for j in range(60)) + " $$$ ###" * 20 if i < 60 else " ".join(f"a{i}b{j}" for j in range(70)))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(120)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(got[i]["base_failed"] and not got[i]["kept"] for i in range(30)) and all(got[i]["rule"] > 0 for i in range(30, 60)) and all(got[i]["kept"] for i in range(60, 120))
