@@ -17,10 +17,10 @@ def kernel(sigma: float) -> list[float]:
 
 
 def _pass(cells: DataFrame, line: str, along: str, weights: list[float]) -> DataFrame:
-    """Weighted sums along lines: each line is one sorted array; borders reflect (-1 is 0, -2 is 1)."""
+    """Weighted sums of v along lines: each line is one sorted array; borders reflect (-1 is 0, -2 is 1). `on` is carried."""
     radius = len(weights) // 2
     taps = F.array(*[F.struct(F.lit(i - radius).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
-    lines = cells.groupBy(line).agg(F.array_sort(F.collect_list(F.struct(F.col(along), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"), F.col("v").isNotNull().alias("on")))).alias("_a"))
+    lines = cells.groupBy(line).agg(F.array_sort(F.collect_list(F.struct(F.col(along), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"), "on"))).alias("_a"))
     n = F.size("_a")
 
     def reflected(i: Column) -> Column:
@@ -35,11 +35,10 @@ def _pass(cells: DataFrame, line: str, along: str, weights: list[float]) -> Data
 def gaussian(cells: DataFrame, sigma: float = 2.0, mode: str = "strict") -> DataFrame:
     """r, c, v smoothed; null stays null. strict: nodata counts as 0. corrected: weights are those of valid cells only."""
     w = kernel(sigma)
-    first = _pass(cells.select("r", "c", "v"), "r", "c", w)
-    both = _pass(first.select("r", "c", "v", "on").withColumn("v", F.col("v")), "c", "r", w) if mode == "strict" else None
-    on = cells.select("r", "c", F.col("v").isNotNull().alias("_on"))
+    both = lambda d: _pass(_pass(d, "r", "c", w), "c", "r", w)
+    d = cells.select("r", "c", "v", F.col("v").isNotNull().alias("on"))
+    out = both(d)
     if mode == "corrected":
-        mask = _pass(on.select("r", "c", F.col("_on").cast("double").alias("v")), "r", "c", w)
-        mask = _pass(mask.select("r", "c", "v"), "c", "r", w).select("r", "c", F.col("v").alias("_w"))
-        both = _pass(first.select("r", "c", "v"), "c", "r", w).join(mask, ["r", "c"]).withColumn("v", F.col("v") / F.col("_w"))
-    return both.select("r", "c", "v").join(on, ["r", "c"]).select("r", "c", F.when(F.col("_on"), F.col("v")).alias("v"))
+        weight = both(d.withColumn("v", F.col("on").cast("double"))).select("r", "c", F.col("v").alias("_w"))
+        out = out.join(weight, ["r", "c"]).withColumn("v", F.col("v") / F.col("_w"))
+    return out.select("r", "c", F.when(F.col("on"), F.col("v")).alias("v"))
