@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEM_WIDTH, LABEL_WIDTH = 100, 100
+#: Names of factor files: as they are known, in another case, without `_` or with a space, and unknown.
+STEMS = ("slope", "ASPECT", "Temperatur", "dem", "plancurv", "Profile Cu", "NewFactor", "Dis2_Road")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing (dir, name): `.tif` and `.tiff` files, some of them in the root."""
-    place = F.expr("CASE WHEN n_regionkey < 2 THEN '' ELSE concat('dir', n_regionkey) END")
-    stem = F.expr("CASE n_nationkey WHEN 0 THEN 'Dis2_Road' WHEN 6 THEN 'ASPECT' ELSE concat('f', n_nationkey) END")
-    return _table(spark, sf_dir, "nation").select(place.alias("dir"), F.concat(stem, F.expr("CASE WHEN n_nationkey % 3 = 0 THEN '.tiff' ELSE '.tif' END")).alias("name"))
+    """A listing (dir, name), each file once: `.tif` and `.tiff` files, some of them in the root."""
+    place = F.expr("CASE WHEN p_size % 5 < 2 THEN '' ELSE concat('dir', p_size % 5) END")
+    number = F.expr("CAST(substr(p_brand, 7) AS INT) % 12")
+    stem = F.coalesce(F.get(F.array(*map(F.lit, STEMS)), number), F.concat(F.lit("f"), number))
+    return _table(spark, sf_dir, "part").select(place.alias("dir"), F.concat(stem, F.expr("IF(p_partkey % 3 = 0, '.tiff', '.tif')")).alias("name")).distinct()

@@ -354,26 +354,26 @@ def _attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ATTR = f"{FACTOR}, {W_SQL}, bg AS (SELECT band, avg(v) m FROM clean WHERE r < 4 GROUP BY band), attr AS (SELECT r, c, clean.band, v x, wt * (v - m) phi FROM clean JOIN w ON w.band = clean.band JOIN bg ON bg.band = clean.band), imp AS (SELECT band, avg(abs(phi)) mean_abs FROM attr GROUP BY band), rk AS (SELECT band, mean_abs, mean_abs / sum(mean_abs) OVER () importance, row_number() OVER (ORDER BY mean_abs DESC, band DESC) rank FROM imp)"
-FILES_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(["slope", "ASPECT", "Temperatur", "dem", "plancurv", "Profile Cu", "NewFactor", "Dis2_Road"]))
+STEMS_SQL = ", ".join(f"'{n}'" for n in fixtures.STEMS)
+FILES = f"files AS (SELECT DISTINCT CASE WHEN p_size % 5 < 2 THEN '' ELSE 'dir' || (p_size % 5) END dir, coalesce([{STEMS_SQL}][CAST(substr(p_brand, 7) AS INT) % 12 + 1], 'f' || (CAST(substr(p_brand, 7) AS INT) % 12)) || CASE WHEN p_partkey % 3 = 0 THEN '.tiff' ELSE '.tif' END AS name FROM part)"
 NAMES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in attrib.FACTOR_NAMES.items())
 CATS_SQL = ", ".join(f"('{k}', '{v}')" for k, v in attrib.FACTOR_CATEGORIES.items())
-NAMED = f"files AS (SELECT * FROM (VALUES {FILES_SQL}) t(band, raw)), names AS (SELECT * FROM (VALUES {NAMES_SQL}) t(file, name)), cats AS (SELECT * FROM (VALUES {CATS_SQL}) t(name, category)), named AS (SELECT CAST(b AS INT) band, coalesce((SELECT name FROM names WHERE lower(file) = lower(raw)), (SELECT min(name) FROM names WHERE translate(lower(file), '_ ', '') = translate(lower(raw), '_ ', '')), raw, 'Band_' || (b + 1)) AS name FROM range(0, 20) t(b) LEFT JOIN files ON files.band = b)"
+NAMED = f"{FILES}, names AS (SELECT * FROM (VALUES {NAMES_SQL}) t(file, name)), cats AS (SELECT * FROM (VALUES {CATS_SQL}) t(name, category)), tif AS (SELECT row_number() OVER (ORDER BY name) - 1 band, replace(name, '.tif', '') raw FROM files WHERE dir = '' AND name LIKE '%.tif'), named AS (SELECT CAST(b AS INT) band, coalesce((SELECT name FROM names WHERE lower(file) = lower(raw)), (SELECT min(name) FROM names WHERE translate(lower(file), '_ ', '') = translate(lower(raw), '_ ', '')), raw, 'Band_' || (b + 1)) AS name FROM range(0, 20) t(b) LEFT JOIN tif ON tif.band = b)"
 
 
 @query(f"WITH {NAMED} SELECT * FROM named")
 def factor_names(spark, sf_dir):
-    return _named(spark)
+    return _named(spark, sf_dir)
 
 
-def _named(spark: SparkSession) -> DataFrame:
-    files = spark.createDataFrame(list(enumerate(["slope", "ASPECT", "Temperatur", "dem", "plancurv", "Profile Cu", "NewFactor", "Dis2_Road"])), "band int, raw string")
-    return attrib.factor_names(files, 20)
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attrib.factor_names(catalog.raw_names(fixtures.files(spark, sf_dir)), 20)
 
 
 @query(f"WITH {ATTR}, {NAMED} SELECT rk.band, named.name, coalesce(category, 'Unknown') category, round(importance, 6) importance, rank FROM rk JOIN named ON named.band = rk.band LEFT JOIN cats ON cats.name = named.name")
 def global_importance(spark, sf_dir):
     ranked = attrib.importance(_attr(spark, sf_dir))
-    d = attrib.with_category(ranked.join(F.broadcast(_named(spark)), "band"))
+    d = attrib.with_category(ranked.join(F.broadcast(_named(spark, sf_dir)), "band"))
     return d.select("band", "name", "category", _r("importance"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -432,35 +432,37 @@ def network_scores(spark, sf_dir):
 
 QUERIES |= {"trained_scorer": trained_scorer, "network_scores": network_scores}
 
-CONFIG = [("crop_size", "int", "512"), ("lr", "float", "0.0001"), ("use_gpu", "bool", "True"), ("device_ids", "list", "[0, 1]"), ("empty", "list", "[]"), ("map", "file", "out.tif")]
 
-
-@query("SELECT * FROM (VALUES ('crop_size', 'int', 512, NULL, NULL, NULL, NULL), ('lr', 'float', NULL, 0.0001::DOUBLE, NULL, NULL, NULL), ('use_gpu', 'bool', NULL, NULL, true, NULL, NULL), ('device_ids', 'list', NULL, NULL, NULL, '0|1', NULL), ('empty', 'list', NULL, NULL, NULL, '', NULL), ('map', 'file', NULL, NULL, NULL, NULL, 'out.tif')) t(name, type, int_value, float_value, bool_value, list_value, string_value)")
+@query("SELECT 'o' || o_orderkey AS name, k AS type, CASE WHEN k = 'int' AND o_custkey % 7 > 0 THEN CAST(o_custkey AS INT) END int_value, CASE WHEN k = 'float' AND o_custkey % 7 > 0 THEN o_custkey / 8::DOUBLE END float_value, CASE WHEN k = 'bool' THEN o_custkey % 7 > 3 END bool_value, CASE WHEN k = 'list' THEN CASE WHEN o_custkey % 7 > 0 THEN '0|' || o_custkey ELSE '' END END list_value, CASE WHEN k IS NULL THEN 'out' || o_custkey END string_value FROM (SELECT *, ['int', 'float', 'bool', 'list'][o_orderkey % 5 + 1] k FROM orders)")
 def config_typed(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(CONFIG)], "position long, name string, type string, value string")
-    d = config.typed(rows)
+    """Values that aren't of their type, empty lists, flags in any case, no type at all."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS position", "concat('o', o_orderkey) AS name", "get(array('int', 'float', 'bool', 'list'), CAST(o_orderkey % 5 AS INT)) AS type", "o_custkey AS v", "o_custkey % 7 AS m")
+    text = "CASE type WHEN 'int' THEN IF(m > 0, concat(v, ' '), 'n/a') WHEN 'float' THEN IF(m > 0, CAST(v / 8D AS STRING), '') WHEN 'bool' THEN IF(m > 3, 'TRUE', 'no') WHEN 'list' THEN IF(m > 0, concat('[0, ', v, ']'), '[ ]') ELSE concat('out', v) END"
+    d = config.typed(rows.withColumn("value", F.expr(text)))
     return d.withColumn("list_value", F.when(F.col("list_value").isNotNull(), F.array_join(F.transform("list_value", lambda x: x.cast("string")), "|")))
 
 
-@query("SELECT * FROM (VALUES ('[0, 1]', 2, 1), ('[]', 0, NULL), ('3', 1, 3)) t(s, n, total)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber % 4 AS INT) n, CAST(CASE l_linenumber % 4 WHEN 1 THEN l_partkey WHEN 2 THEN l_partkey + l_suppkey WHEN 3 THEN l_partkey + l_suppkey + l_linenumber END AS INT) total FROM lineitem")
 def str_to_list(spark, sf_dir):
-    rows = spark.createDataFrame([("[0, 1]",), ("[]",), ("3",)], "s string")
+    """Lists of none to three values; a single one may come without brackets."""
+    text = "CASE l_linenumber % 4 WHEN 0 THEN '[]' WHEN 1 THEN IF(l_suppkey % 2 = 0, concat('[', l_partkey, ']'), CAST(l_partkey AS STRING)) WHEN 2 THEN concat('[', l_partkey, ',', l_suppkey, ']') ELSE concat('[ ', l_partkey, ', ', l_suppkey, ' , ', l_linenumber, ' ]') END"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", int_list(F.expr(text)).alias("l"))
     total = F.aggregate("l", F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("l", int_list(F.col("s"))).select("s", F.size("l").alias("n"), F.when(F.size("l") > 0, total).alias("total"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size("l").alias("n"), F.when(F.size("l") > 0, total).alias("total"))
 
 
-@query("SELECT * FROM (VALUES ('module.stem.weight', 'stem.weight'), ('stem.bias', 'stem.bias')) t(raw, layer)")
+@query("SELECT p_partkey, CASE WHEN starts_with(raw, 'module.') THEN substr(raw, 8) ELSE raw END layer FROM (SELECT p_partkey, ['', 'module.', 'stem.module.', 'module.module.'][p_partkey % 4 + 1] || replace(p_name, ' ', '.') raw FROM part)")
 def module_prefix(spark, sf_dir):
-    return spark.createDataFrame([("module.stem.weight",), ("stem.bias",)], "raw string").withColumn("layer", strip_module(F.col("raw")))
+    """The prefix goes once, and only from the beginning."""
+    raw = F.expr("concat(get(array('', 'module.', 'stem.module.', 'module.module.'), CAST(p_partkey % 4 AS INT)), replace(p_name, ' ', '.'))")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", strip_module(raw).alias("layer"))
 
 
-@query("SELECT * FROM (VALUES (0, 'Aspect', 'a.tif'), (1, 'Slope', 's.tif')) t(band, dir, name)")
+@query("SELECT CAST(row_number() OVER (ORDER BY dir) - 1 AS INT) band, dir, min(name) AS name FROM (SELECT CASE WHEN p_size % 7 = 0 THEN '' ELSE p_brand END dir, p_partkey || CASE WHEN p_size % 7 = 0 OR p_partkey % 3 = 0 THEN '.txt' WHEN p_partkey % 3 = 1 THEN '.TIF' ELSE '.tif' END AS name FROM part) WHERE dir <> '' AND name LIKE '%.tif' GROUP BY dir")
 def factor_discovery(spark, sf_dir):
-    files = spark.createDataFrame([("Slope", "s.tif"), ("Slope", "t.tif"), ("Aspect", "a.tif"), ("Aspect", "A.TIF"), ("Notes", "x.txt")], "dir string, name string")
-    return catalog.factor_files(files)
-
-
-FILES = "files AS (SELECT CASE WHEN n_regionkey < 2 THEN '' ELSE 'dir' || n_regionkey END dir, CASE n_nationkey WHEN 0 THEN 'Dis2_Road' WHEN 6 THEN 'ASPECT' ELSE 'f' || n_nationkey END || CASE WHEN n_nationkey % 3 = 0 THEN '.tiff' ELSE '.tif' END AS name FROM nation)"
+    """A root without rasters: the first raster of each directory; other files, and other cases of the extension, aren't rasters."""
+    place, end = "IF(p_size % 7 = 0, '', p_brand) AS dir", "CASE WHEN p_size % 7 = 0 OR p_partkey % 3 = 0 THEN '.txt' WHEN p_partkey % 3 = 1 THEN '.TIF' ELSE '.tif' END"
+    return catalog.factor_files(spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(place, f"concat(p_partkey, {end}) AS name"))
 
 
 @query(f"WITH {FILES} SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) band, dir, name FROM files WHERE dir = '' AND name LIKE '%.tif'")
@@ -484,11 +486,11 @@ def factor_names_tiff(spark, sf_dir):
     return attrib.factor_names(catalog.raw_names(fixtures.files(spark, sf_dir).where(F.col("name").endswith(".tiff"))), 20)
 
 
-@query("SELECT CAST(i AS INT) position, (SELECT min_by(n_name, n_nationkey) FROM nation WHERE 'p' || n_regionkey = p) AS value FROM (VALUES (0, 'p3'), (1, 'p0')) t(i, p)")
+@query("SELECT CAST(i AS INT) position, (SELECT min_by(o_custkey, o_orderkey) FROM orders WHERE o_orderpriority = p) AS value FROM (VALUES (0, '5-LOW'), (1, '1-URGENT')) t(i, p)")
 def config_projection(spark, sf_dir):
     """First matches in the order asked for; a missing name is left out."""
-    params = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS position", "concat('p', n_regionkey) AS name", "n_name AS value")
-    found = config.projected(params, ["p3", "absent", "p0"])
+    params = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS position", "o_orderpriority AS name", "o_custkey AS value")
+    found = config.projected(params, ["5-LOW", "absent", "1-URGENT"])
     return found.select((F.row_number().over(Window.orderBy("position")) - 1).cast("int").alias("position"), "value")  # a row for each name
 
 
@@ -640,9 +642,13 @@ def display_sample(spark, sf_dir):
     return attrib.display_sample(_attr(spark, sf_dir)).select("r", "c", "band", "x", _r("phi", 3))
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS position, category FROM (SELECT DISTINCT category FROM (VALUES {CATS_SQL}) t(name, category))")
+@query(f"WITH {ATTR}, {NAMED}, legend AS (SELECT CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS position, category FROM (SELECT DISTINCT category FROM cats)), part_of AS (SELECT category, count(*) n, sum(importance) i FROM rk JOIN named ON named.band = rk.band JOIN cats ON cats.name = named.name GROUP BY category) SELECT position, legend.category, coalesce(n, 0) n_factors, round(coalesce(i, 0), 6) importance FROM legend LEFT JOIN part_of ON part_of.category = legend.category")
 def factor_categories(spark, sf_dir):
-    return attrib.categories(spark)
+    """The legend's categories, and what part of the importance each one's factors have."""
+    named = attrib.with_category(attrib.importance(_attr(spark, sf_dir)).join(F.broadcast(_named(spark, sf_dir)), "band"))
+    parts = named.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("i"))  # a row for each category
+    legend = attrib.categories(spark).join(F.broadcast(parts), "category", "left")
+    return legend.select("position", "category", F.coalesce("n", F.lit(0)).alias("n_factors"), F.round(F.coalesce("i", F.lit(0.0)), 6).alias("importance"))
 
 
 @query(f"WITH {ATTR} SELECT band, r, c, round(phi, 6) phi, round(max(abs(phi)) OVER (), 6) AS \"limit\" FROM attr WHERE r BETWEEN 4 AND 11 AND c BETWEEN 3 AND 10")
@@ -661,7 +667,7 @@ def risk_report(spark, sf_dir):
 @query(f"WITH {ATTR}, {NAMED} SELECT CAST(rank AS VARCHAR) rank, named.name AS factor, coalesce(category, 'Unknown') category, printf('%.6f', importance) AS importance FROM rk JOIN named ON named.band = rk.band LEFT JOIN cats ON cats.name = named.name")
 def importance_report(spark, sf_dir):
     path = new_folder(spark, "importance")
-    named = attrib.importance(_attr(spark, sf_dir)).join(F.broadcast(_named(spark)), "band")
+    named = attrib.importance(_attr(spark, sf_dir)).join(F.broadcast(_named(spark, sf_dir)), "band")
     reports.importance_csv(attrib.with_category(named), path)
     return spark.read.option("header", True).csv(path).toDF("rank", "factor", "category", "importance")
 
