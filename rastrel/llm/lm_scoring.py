@@ -1,4 +1,4 @@
-"""LM scoring: a causal self-attention model over subword ids, trained in numpy, whose tables and unigram are learnt from the whole corpus."""
+"""LM scoring: a causal self-attention model over subword ids, trained in numpy on every training row, dealt over the tasks; so are its tables and unigram."""
 
 from __future__ import annotations
 
@@ -29,8 +29,10 @@ LANES = 96
 WIDTH, EXPERTS = 24, 96
 #: Bounds: words whose counts are broadcast (others are counted by an exchange, exactly), rows they are chosen from.
 HEAD_WORDS, HEAD_ROWS = 100_000, 20_000
-#: Bounds of the gate's training sample: rows, and characters of each one's seeded span.
+#: Bounds of the sample from which the gate's starting values come: rows, and characters of each one's seeded span.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 1_500
+#: Training rows of a learner, on average, and the rate at which it begins.
+LEARNER_ROWS, LEARNER_RATE = 4_096, 0.003
 #: Weight of the word unigram beside the attention model, and of the corpus's subword counts in each expert.
 UNIGRAM_WEIGHT, SMOOTHING = 0.15, 0.02
 #: Words that are scored together: bounds a task's memory.
@@ -187,17 +189,34 @@ class Laid:
         return out.reshape(-1, SCORED)
 
 
+def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in `at`, in order, and the sum of each one's rows."""
+    order = np.argsort(at)
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+    return at[first], np.add.reduceat(rows[order], first)
+
+
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """to[at] += rows, where `at` may name a row several times."""
     if len(at):
-        order = np.argsort(at, kind="stable")
-        found, first = np.unique(at[order], return_index=True)
-        to[found] += np.add.reduceat(rows[order], first)
+        found, sums = _row_sums(at, rows)
+        to[found] += sums
 
 
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - SCORED, WINDOW)[:, None], 0, -1e9).astype(np.float32)
-#: Bounds of the scores of attention: later inputs get none.
-REACH = np.minimum(60 + CAUSAL, 60)
+
+
+def _exps(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row's scores, and the rows' sums: taken below the row's largest score where a sum is beyond single precision."""
+    ones = np.ones(scores.shape[-1], scores.dtype)
+    with np.errstate(over="ignore"):
+        out = np.exp(scores)
+        total = out @ ones
+    if not (total.min(initial=1) > 1e-25 and total.max(initial=1) < 1e25):
+        np.exp(scores - scores.max(-1, keepdims=True), out=out)
+        total = out @ ones
+    return out, total
 
 
 @dataclass
@@ -205,8 +224,8 @@ class Model:
     """One block of causal attention whose state mixes EXPERTS distributions over all subwords.
 
     p(id | before) = sum over k of gate_k(state) * table[id, k]: each column of the table sums to 1, so the
-    mixture does. The gate learns by gradient, the table by stepwise expectation maximisation, and last from
-    rows all over the corpus by the gate that was learnt.
+    mixture does. The gate learns by gradient, the table by expectation maximisation: first from a sample, on the
+    driver, then both from every training row, by a `Learner` for each bucket of rows.
     """
 
     p: dict[str, np.ndarray]
@@ -224,54 +243,58 @@ class Model:
         p |= {"w1": n(d, d, scale=0.25), "b1": np.zeros(d, np.float32), "w2": n(d, d, scale=0.25), "g": n(d, EXPERTS, scale=0.3), "bg": np.zeros(EXPERTS, np.float32)}
         return cls(p, np.repeat(shares[:, None], EXPERTS, 1).astype(np.float32), starts, shares)
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """States of the inputs of windows x (n, WINDOW)."""
+        p, n, d = self.p, len(x), WIDTH
+        e = p["e"].take(x, axis=0)
+        wide = e.reshape(n, -1)  # whole windows are added as long rows
+        wide += p["pos"].ravel()
+        wide[:, d:] += p["e2"].take(x[:, :-1], axis=0).reshape(n, -1)  # each input also knows the one before it
+        return e
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and values are products of the inputs' states and one matrix each, so keys and values are never formed."""
+        p = self.p
+        return p["q"] @ p["k"].T * p["q"].dtype.type(WIDTH**-0.5), p["v"] @ p["o"]
+
     def forward(self, x: np.ndarray):
         """Gates for the last SCORED positions of windows x (n, WINDOW)."""
-        p = self.p
-        e = p["e"].take(x, axis=0)
-        e[:, 1:] += p["e2"].take(x[:, :-1], axis=0)  # each input also knows the one before it
-        e += p["pos"]
-        tail = e[:, WINDOW - SCORED :]
-        q, k, v = tail @ p["q"], e @ p["k"], e @ p["v"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= WIDTH**-0.5
+        p, n, d = self.p, len(x), WIDTH
+        qk, vo = self.fold()
+        e = self.states(x)
+        tail = np.ascontiguousarray(e[:, WINDOW - SCORED :]).reshape(-1, d)
+        tq = (tail @ qk).reshape(n, SCORED, d)
+        s = tq @ e.transpose(0, 2, 1)
         s += CAUSAL
-        s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        a = s @ v
-        h = tail + a @ p["o"]
+        s, total = _exps(s)
+        s *= (1 / total)[:, :, None]
+        a = (s @ e).reshape(-1, d)
+        h = a @ vo
+        h += tail
         m = h @ p["w1"]
         m += p["b1"]
         np.maximum(m, 0, out=m)
-        h2 = h + m @ p["w2"]
+        h2 = m @ p["w2"]
+        h2 += h
         g = h2 @ p["g"]
         g += p["bg"]
-        g -= g.max(2, keepdims=True)
-        np.exp(g, out=g)
-        g /= g.sum(2, keepdims=True)
-        return g, (e, tail, q, k, v, s, a, h, m, h2)
+        g, total = _exps(g)
+        g *= (1 / total)[:, None]
+        return g.reshape(n, SCORED, -1), (qk, vo, e, tail, tq, s, a, h, m, h2)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
-        """As `forward`, with bounded exponents, flat and undivided.
-
-        Scores and values are products of the inputs' states and one matrix each (q k' and v o), so keys and values
-        are never formed; whole windows are added as long rows.
-        """
+        """As `forward`, flat and undivided."""
         p, n, d = self.p, len(x), WIDTH
         if self.folded is None:
-            row = lambda b: np.tile(b, SCORED)
-            self.folded = p["q"] @ p["k"].T * np.float32(d**-0.5), p["v"] @ p["o"], row(p["b1"]), row(p["bg"]), p["pos"].ravel()
-        qk, vo, b1, bg, pos = self.folded
-        e = p["e"].take(x, axis=0)
-        wide = e.reshape(n, -1)
-        wide += pos
-        wide[:, d:] += p["e2"].take(x[:, :-1], axis=0).reshape(n, -1)
+            self.folded = *self.fold(), np.tile(p["b1"], SCORED), np.tile(p["bg"], SCORED)
+        qk, vo, b1, bg = self.folded
+        e = self.states(x)
         tail = np.ascontiguousarray(e[:, WINDOW - SCORED :]).reshape(-1, d)
         s = (tail @ qk).reshape(n, SCORED, d) @ e.transpose(0, 2, 1)
-        np.minimum(s, REACH, out=s)
-        np.exp(s, out=s)
+        s += CAUSAL
+        s, total = _exps(s)
         a = (s @ e).reshape(-1, d)
-        a /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype))[:, None]
+        a /= total.reshape(-1, 1)
         h = a @ vo
         h += tail
         m = h @ p["w1"]
@@ -282,9 +305,7 @@ class Model:
         g = h @ p["g"]
         wide = g.reshape(n, -1)
         wide += bg
-        np.minimum(g, 60, out=g)
-        np.exp(g, out=g)
-        return g
+        return _exps(g)[0]
 
     def settle(self, counts: np.ndarray) -> None:
         """The table from counts of (id, expert)."""
@@ -308,53 +329,117 @@ class Model:
         total, begins, p = (x.astype(np.float64) * np.log10(np.e) for x in (total, begins, p))
         return p - total, begins - total
 
-    def expect(self, laid: Laid, some: np.ndarray, counts: np.ndarray) -> None:
-        """Add the experts' responsibilities for the ids of windows `some` to `counts`."""
-        on = laid.on()
-        for lo in range(0, len(some), LANES):
-            at = some[lo : lo + LANES]
-            x, y = laid.windows(at)
-            g = self.gates(x)
-            g *= self.table.take(y.ravel(), axis=0)
-            keep = on[at].ravel()
-            r, y = g[keep], y.ravel()[keep]
-            r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
-            _add_rows(counts, y, r)
-
     def gradient(self, x: np.ndarray, y: np.ndarray, on: np.ndarray):
         """Mean loss over positions `on`, gradient of the gate's part, responsibilities of the experts."""
-        p = self.p
-        g, (e, tail, q, k, v, s, a, h, m, h2) = self.forward(x)
-        r = g * self.table[y]
-        total = r.sum(2, keepdims=True) + 1e-30
-        r /= total
-        n = max(1, int(on.sum()))
-        loss = -float((np.log(total[:, :, 0]) * on).sum()) / n
-        dg = (g - r) * (on / n)[:, :, None].astype(np.float32)
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        grad = {"g": flat(h2).T @ flat(dg), "bg": flat(dg).sum(0)}
-        dh2 = dg @ p["g"].T
-        grad["w2"] = flat(m).T @ flat(dh2)
-        dm = (dh2 @ p["w2"].T) * (m > 0)
-        grad["w1"], grad["b1"] = flat(h).T @ flat(dm), flat(dm).sum(0)
-        dh = dh2 + dm @ p["w1"].T
-        grad["o"] = flat(a).T @ flat(dh)
-        da = dh @ p["o"].T
-        ds = da @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * WIDTH**-0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        grad["q"], grad["k"], grad["v"] = flat(tail).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, WINDOW - SCORED :] += dh + dq @ p["q"].T
-        grad["pos"] = de.sum(0)
+        p, n, d = self.p, len(x), WIDTH
+        g, (qk, vo, e, tail, tq, s, a, h, m, h2) = self.forward(x)
+        g = g.reshape(n * SCORED, -1)
+        r = self.table.take(y.ravel(), axis=0)
+        r *= g
+        total = r @ np.ones(r.shape[1], r.dtype) + r.dtype.type(1e-30)
+        r /= total[:, None]
+        known = max(1, int(on.sum()))
+        loss = -float((np.log(total) * on.ravel()).sum()) / known
+        column = lambda z: np.ones(len(z), z.dtype) @ z  # noqa: E731  sums of the columns
+        dg = g
+        dg -= r
+        dg *= (on.ravel() / known).astype(g.dtype)[:, None]
+        grad = {"g": h2.T @ dg, "bg": column(dg)}
+        dh = dg @ p["g"].T
+        grad["w2"] = m.T @ dh
+        dm = dh @ p["w2"].T
+        dm *= m > 0
+        grad["w1"], grad["b1"] = h.T @ dm, column(dm)
+        dh += dm @ p["w1"].T
+        dvo = a.T @ dh
+        grad["v"], grad["o"] = dvo @ p["o"].T, p["v"].T @ dvo
+        da = dh @ vo.T
+        ds = da.reshape(n, SCORED, d) @ e.transpose(0, 2, 1)
+        ds -= np.einsum("ij,ij->i", da, a).reshape(n, SCORED, 1)
+        ds *= s
+        de = s.transpose(0, 2, 1) @ da.reshape(n, SCORED, d)
+        de += ds.transpose(0, 2, 1) @ tq
+        dt = (ds @ e).reshape(-1, d)
+        dqk = tail.T @ dt * p["q"].dtype.type(d**-0.5)
+        grad["q"], grad["k"] = dqk @ p["k"], dqk.T @ p["q"]
+        dh += dt @ qk.T
+        de[:, WINDOW - SCORED :] += dh.reshape(n, SCORED, d)
+        grad["pos"] = column(de.reshape(n, -1)).reshape(WINDOW, d)
         # of the embeddings, only the rows in use: the others' gradient is 0
-        used, row = np.unique(x, return_inverse=True)
-        row = row.reshape(x.shape)
-        grad["e"], grad["e2"] = (used, np.zeros((len(used), WIDTH), de.dtype)), (used, np.zeros((len(used), WIDTH), de.dtype))
-        _add_rows(grad["e"][1], row.ravel(), flat(de))
-        _add_rows(grad["e2"][1], row[:, :-1].ravel(), flat(np.ascontiguousarray(de[:, 1:])))
-        return loss, grad, r
+        both = np.zeros((n, WINDOW, 2 * d), de.dtype)
+        both[:, :, :d], both[:, :-1, d:] = de, de[:, 1:]
+        used, sums = _row_sums(x.ravel(), both.reshape(-1, 2 * d))
+        grad["e"], grad["e2"] = (used, sums[:, :d]), (used, sums[:, d:])
+        return loss, grad, r.reshape(n, SCORED, -1)
+
+
+class Adam:
+    """Steps of a model's parameters along their gradients."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.steps = p, 0
+        self.m1, self.m2 = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+
+    def step(self, grad: dict, rate: float) -> None:
+        self.steps += 1
+        for n, g in grad.items():
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            self.m1[n][at] = a = 0.9 * self.m1[n][at] + 0.1 * g
+            self.m2[n][at] = b = 0.99 * self.m2[n][at] + 0.01 * g * g
+            self.p[n][at] -= rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-6)
+
+
+#: Parameters with a row for each id.
+BY_ID = "e", "e2"
+
+
+class Learner:
+    """Training from a given model on some rows, each one once: what the gate's parameters gained, and the experts' responsibilities."""
+
+    def __init__(self, start: Model, rows: float, seed: int = 0):
+        """rows: about so many will come; the rate falls by nine tenths over them."""
+        self.start, self.rows, self.seen = start, max(1.0, rows), 0
+        self.model = Model({n: v.copy() for n, v in start.p.items()}, start.table, start.starts, start.shares)
+        self.adam, self.rng = Adam(self.model.p), np.random.default_rng(seed)
+        self.soft, self.n = np.zeros(start.table.shape), np.zeros(len(start.shares), np.int64)
+
+    def learn(self, laid: Laid, rows: int) -> None:
+        on = laid.on()
+        self.n += np.bincount(laid.targets.ravel()[laid.place], minlength=len(self.n))
+        order = self.rng.permutation(len(on))
+        for lo in range(0, len(order), LANES):
+            some = order[lo : lo + LANES]
+            x, y = laid.windows(some)
+            o = on[some]
+            done = min(1.0, (self.seen + rows * lo / len(order)) / self.rows)
+            _, grad, r = self.model.gradient(x, y, o)
+            self.adam.step(grad, LEARNER_RATE * (1 - 0.9 * done))
+            _add_rows(self.soft, y[o], r[o])
+        self.seen += rows
+
+    def by_id(self, ids: np.ndarray) -> np.ndarray:
+        """Of each id: its responsibilities, then the gains of its own parameters times its count."""
+        gains = [(self.model.p[n][ids] - self.start.p[n][ids]) * self.n[ids, None] for n in BY_ID]
+        return np.concatenate([self.soft[ids], *gains], 1).astype(np.float32)
+
+    def others(self) -> np.ndarray:
+        """Gains of all other parameters times the number of ids."""
+        return np.concatenate([(self.model.p[n] - v).ravel() for n, v in self.start.p.items() if n not in BY_ID]).astype(np.float32) * np.float32(self.n.sum())
+
+
+def joined(start: Model, n: np.ndarray, by_id: np.ndarray, others: np.ndarray) -> Model:
+    """The model of all learners, from sums of what they have learnt: means of the gains, weighted by ids, and the table anew."""
+    u = n + 0.01
+    share = (1 / np.maximum(n, 1)[:, None]).astype(np.float32)
+    p = {k: start.p[k] + by_id[:, EXPERTS + i * WIDTH : EXPERTS + (i + 1) * WIDTH] * share for i, k in enumerate(BY_ID)}
+    at = 0
+    for k, v in start.p.items():
+        if k not in BY_ID:
+            p[k] = (v + others[at : at + v.size].reshape(v.shape) / max(1, n.sum())).astype(np.float32)
+            at += v.size
+    model = Model(p, start.table, start.starts, u / u.sum())
+    model.settle(by_id[:, :EXPERTS] + (1e-3 * model.shares[:, None]).astype(np.float32))
+    return model
 
 
 def train(texts: list[str], path: str, seed: int = 3, epochs: int = 6, lanes: int = 64, rate: float = 0.02) -> Model:
@@ -384,7 +469,7 @@ def train(texts: list[str], path: str, seed: int = 3, epochs: int = 6, lanes: in
     x, y = x.astype(np.int32), y.astype(np.int32)
     del split, slots, laid, before, flat  # the driver is small
     rng = np.random.default_rng(seed)
-    m1, m2, step = {n: np.zeros_like(v) for n, v in model.p.items()}, {n: np.zeros_like(v) for n, v in model.p.items()}, 0
+    adam = Adam(model.p)
     every = epochs * -(-len(y) // lanes)
     scale = 1.0  # of `counts`, so that fading needs no pass over it
     for _ in range(epochs):
@@ -393,16 +478,10 @@ def train(texts: list[str], path: str, seed: int = 3, epochs: int = 6, lanes: in
             some = order[lo : lo + lanes]
             o = on[some]
             _, grad, r = model.gradient(x[some], y[some], o)
-            step += 1
-            now = rate * (1 - 0.9 * step / every)
-            for n, g in grad.items():
-                at, g = g if isinstance(g, tuple) else (slice(None), g)
-                m1[n][at] = a = 0.9 * m1[n][at] + 0.1 * g
-                m2[n][at] = b = 0.99 * m2[n][at] + 0.01 * g * g
-                model.p[n][at] -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+            adam.step(grad, rate * (1 - 0.9 * (adam.steps + 1) / every))
             scale *= 1 - min(0.5, 2.0 * len(some) / len(y))
             _add_rows(counts, y[some][o], r[o] * np.float32(1 / scale))
-            if step % 16 == 0 or step == every:
+            if adam.steps % 16 == 0 or adam.steps == every:
                 counts *= np.float32(scale)
                 scale = 1.0
                 model.settle(counts)
@@ -433,7 +512,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-#: What a row of the corpus's statistics counts: a head word, an id with the experts' part in it, and all words.
+#: What a row of the corpus's statistics holds: the count of a head word, of an id with what a learner has of it, of all words with the learner's other gains.
 HEAD, ID, ALL = range(3)
 STATS = "kind int, id long, n long, more binary"
 
@@ -443,27 +522,27 @@ def _stats(kind: int, ids: np.ndarray, n: np.ndarray, more: list[bytes] | None =
 
 
 def _observed(shared, path: str):
-    """Counts of the head words and ids, and the experts' part in these, of all rows."""
+    """Counts of the head words and ids, and what a learner has of them, of a partition's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, key = shared.value
+        model, head, key, rows = shared.value
         words = Words.load(key, head, path)
-        n_head, n_id, total = np.zeros(len(head) + 1, np.int64), np.zeros(words.encoder.size, np.int64), 0
-        soft = np.zeros(model.table.shape)
+        n_head, total, learner = np.zeros(len(head) + 1, np.int64), 0, None
         for batch in batches:
             for _, texts in _blocks(batch):
+                learner = learner or Learner(model, rows)
                 tokens = np.array([len(t) + 1 for t in texts])
                 slots = words.slots(texts)
                 n_head += np.bincount(slots[slots <= words.head], minlength=len(n_head))
                 total += len(slots)
-                laid = Laid.of(words, slots, tokens)
-                n_id += np.bincount(laid.targets.ravel()[laid.place], minlength=len(n_id))
-                model.expect(laid, np.arange(len(laid.targets)), soft)
-        used = np.flatnonzero(n_head)
-        yield _stats(HEAD, used, n_head[used])
-        used = np.flatnonzero(n_id)
-        yield _stats(ID, used, n_id[used], [soft[i].astype(np.float32).tobytes() for i in used.tolist()])
-        yield _stats(ALL, np.array([0]), np.array([total]))
+                learner.learn(Laid.of(words, slots, tokens), len(texts))
+        if learner:
+            used = np.flatnonzero(n_head)
+            yield _stats(HEAD, used, n_head[used])
+            used = np.flatnonzero(learner.n)
+            for some in np.array_split(used, -(-len(used) // 10_000)):
+                yield _stats(ID, some, learner.n[some], [x.tobytes() for x in learner.by_id(some)])
+            yield _stats(ALL, np.array([0]), np.array([total]), [learner.others().tobytes()])
 
     return run
 
@@ -471,15 +550,18 @@ def _observed(shared, path: str):
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the statistics of each (kind, id)."""
     count: Counter[tuple[int, int]] = Counter()
-    parts: dict[int, np.ndarray] = {}
+    parts: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for kind, i, n, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             count[kind, i] += n
             if more is not None:
                 x = np.frombuffer(more, np.float32)
-                parts[i] = parts[i] + x if i in parts else x.astype(np.float64)
+                if (kind, i) in parts:
+                    parts[kind, i] += x
+                else:
+                    parts[kind, i] = x.astype(np.float64)
     rows = list(count)
-    more = [parts[i].tobytes() if kind == ID and i in parts else None for kind, i in rows]
+    more = [parts[r].astype(np.float32).tobytes() if r in parts else None for r in rows]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([count[r] for r in rows], pa.int64()), pa.array(more, pa.binary())], ["kind", "id", "n", "more"])
 
 
@@ -549,25 +631,32 @@ def _scored(shared, path: str):
 
 
 def observe(model: Model, head: list[bytes], key: str, teach: DataFrame, path: str) -> tuple[Corpus, Model]:
-    """Statistics of all training texts: counts, and the experts' tables learnt anew."""
+    """Statistics of all training texts: counts, and the model learnt further from every one of them, gate and tables.
+
+    Rows (turn, text) are dealt over learners by `turn` and learnt in order of it, so the model doesn't depend on
+    the table's layout; the number of learners grows with the rows.
+    """
     spark = teach.sparkSession
-    shared = spark.sparkContext.broadcast((model, head, key))
-    stats = staged(teach.mapInArrow(_observed(shared, path), STATS).repartition("kind", "id").mapInArrow(_added, STATS), "lm-stats")
-    counts, ids = np.zeros(len(head) + 1, np.int64), np.zeros(len(model.shares), np.int64)
-    soft, tokens = np.zeros(model.table.shape), 0
+    rows = teach.count()
+    learners = max(1, -(-rows // LEARNER_ROWS))
+    shared = spark.sparkContext.broadcast((model, head, key, rows / learners))
+    dealt = teach.repartitionById(learners, F.pmod("turn", F.lit(learners)).cast("int")).sortWithinPartitions("turn", "text")
+    stats = staged(dealt.select("text").mapInArrow(_observed(shared, path), STATS).repartition("kind", "id").mapInArrow(_added, STATS), "lm-stats")
+    counts, n = np.zeros(len(head) + 1, np.int64), np.zeros(len(model.shares), np.int64)
+    by_id, others = np.zeros((len(n), EXPERTS + len(BY_ID) * WIDTH), np.float32), np.zeros(sum(v.size for k, v in model.p.items() if k not in BY_ID))
+    tokens = 0
     for r in stats.toLocalIterator():  # a row for each head word and id at most
         if r["kind"] == HEAD:
             counts[r["id"]] = r["n"]
         elif r["kind"] == ID:
-            ids[r["id"]] = r["n"]
-            soft[r["id"]] = np.frombuffer(r["more"])
+            n[r["id"]] = r["n"]
+            by_id[r["id"]] = np.frombuffer(r["more"], np.float32)
         else:
             tokens = r["n"]
+            others += np.frombuffer(r["more"], np.float32)
     unstage(stats)
-    u = ids + 0.01
-    model = Model(model.p, model.table, model.starts, u / u.sum())
-    model.settle(soft + 1e-3 * model.shares[:, None])
-    return Corpus(counts, tokens), model
+    shared.unpersist()
+    return Corpus(counts, tokens), joined(model, n, by_id, others)
 
 
 def score_documents(docs: DataFrame, held_out: str, tokenizer: str | None = None, seed: int = 3) -> DataFrame:
@@ -577,8 +666,9 @@ def score_documents(docs: DataFrame, held_out: str, tokenizer: str | None = None
     the word's ids, with UNIGRAM_WEIGHT of the word unigram: a distribution over all words and the end. Windows overlap
     and each id is scored once.
 
-    The gate learns from a bounded sample (SAMPLE_ROWS spans of SAMPLE_CHARS), the experts' tables and the unigram from
-    every word of every training row. Words beyond the HEAD_WORDS commonest are counted by an exchange, told apart by
+    The gate, the experts' tables and the unigram learn from every word of every training row. Only the values that the
+    gate's learning starts from come from a bounded sample (SAMPLE_ROWS spans of SAMPLE_CHARS), and the choice of the
+    words whose counts are broadcast, which changes no result. Words beyond the HEAD_WORDS commonest are counted by an exchange, told apart by
     64 bits: so base and unigram are exact whatever the vocabulary's size.
 
     Null or empty text: only the end. Null doc_id: not held out; repeated rows are rows of their own; other columns
@@ -598,8 +688,9 @@ def score_documents(docs: DataFrame, held_out: str, tokenizer: str | None = None
     sample = [r[0] for r in drawn.orderBy("turn", "text").limit(SAMPLE_ROWS).collect()]
     often = drawn.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     head = [bytes(r[0]) for r in often.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    unstage(drawn)
     key = uuid.uuid4().hex
-    corpus, model = observe(train(sample, path, seed), head, key, teach.select("text"), path)
+    corpus, model = observe(train(sample, path, seed), head, key, teach.select("turn", "text"), path)
     shared = spark.sparkContext.broadcast((model, head, key, corpus))
 
     scored = staged(rows.select("doc_id", "text", "held").mapInArrow(_scored(shared, path), SCORED_ROWS), "lm-scored")
