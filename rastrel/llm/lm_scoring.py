@@ -213,9 +213,11 @@ def _exps(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         out = np.exp(scores)
         total = out @ ones
-    if not (total.min(initial=1) > 1e-25 and total.max(initial=1) < 1e25):
-        np.exp(scores - scores.max(-1, keepdims=True), out=out)
-        total = out @ ones
+    far = ~((total > 1e-25) & (total < 1e25))
+    if far.any():
+        some = scores[far]
+        out[far] = some = np.exp(some - some.max(-1, keepdims=True))
+        total[far] = some @ ones
     return out, total
 
 
