@@ -25,6 +25,8 @@ from .common import staged, unstage
 WINDOW, SCORED = 32, 24
 #: Windows of a batch: their attention fits a core's cache.
 LANES = 96
+#: Batches whose responsibilities are added together.
+HELD = 4
 #: Width of the states, and mixture components of the output.
 WIDTH, EXPERTS = 24, 96
 #: Bounds: words whose counts are broadcast (others are counted by an exchange, exactly), rows they are chosen from.
@@ -197,11 +199,28 @@ def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[first], np.add.reduceat(rows[order], first)
 
 
-def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, where `at` may name a row several times."""
-    if len(at):
-        found, sums = _row_sums(at, rows)
-        to[found] += sums
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray, few: int = 8) -> None:
+    """to[at] += rows, where `at` may name a row several times.
+
+    The k-th rows of all values that have so many are added at once; the few most frequent values' other rows by a product.
+    """
+    if not len(at):
+        return
+    order = np.argsort(at)
+    at = at.take(order)
+    first = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+    n = np.diff(first, append=len(at))
+    by = np.argsort(-n)
+    first, n = first.take(by), n.take(by)
+    sums = rows.take(order.take(first), axis=0)
+    k, more = 1, len(n)
+    while (more := int(np.searchsorted(-n[:more], -k))) > few:
+        sums[:more] += rows.take(order.take(first[:more] + k), axis=0)
+        k += 1
+    for i in range(more):
+        some = rows.take(order[first[i] + k : first[i] + n[i]], axis=0)
+        sums[i] += np.ones(len(some), rows.dtype) @ some
+    to[at.take(first)] += sums
 
 
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - SCORED, WINDOW)[:, None], 0, -1e9).astype(np.float32)
@@ -221,6 +240,14 @@ def _exps(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
+def _and_one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a + b, and a column of ones for the bias of what comes next."""
+    out = np.empty((len(a), a.shape[1] + 1), a.dtype)
+    np.add(a, b, out=out[:, :-1])
+    out[:, -1] = 1
+    return out
+
+
 @dataclass
 class Model:
     """One block of causal attention whose state mixes EXPERTS distributions over all subwords.
@@ -271,25 +298,25 @@ class Model:
         s, total = _exps(s)
         s *= (1 / total)[:, :, None]
         a = (s @ e).reshape(-1, d)
-        h = a @ vo
-        h += tail
-        m = h @ p["w1"]
-        m += p["b1"]
+        h = _and_one(a @ vo, tail)
+        m = h @ np.vstack([p["w1"], p["b1"]])
         np.maximum(m, 0, out=m)
-        h2 = m @ p["w2"]
-        h2 += h
-        g = h2 @ p["g"]
-        g += p["bg"]
+        h2 = _and_one(m @ p["w2"], h[:, :d])
+        g = h2 @ np.vstack([p["g"], p["bg"]])
         g, total = _exps(g)
         g *= (1 / total)[:, None]
         return g.reshape(n, SCORED, -1), (qk, vo, e, tail, tq, s, a, h, m, h2)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """As `forward`, flat and undivided."""
+        return self.sized_gates(x)[0]
+
+    def sized_gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Undivided gates, and each row's sum."""
         p, n, d = self.p, len(x), WIDTH
         if self.folded is None:
-            self.folded = *self.fold(), np.tile(p["b1"], SCORED), np.tile(p["bg"], SCORED)
-        qk, vo, b1, bg = self.folded
+            self.folded = *self.fold(), np.vstack([p["w1"], p["b1"]]), np.vstack([p["g"], p["bg"]])
+        qk, vo, w1, last = self.folded
         e = self.states(x)
         tail = np.ascontiguousarray(e[:, WINDOW - SCORED :]).reshape(-1, d)
         s = (tail @ qk).reshape(n, SCORED, d) @ e.transpose(0, 2, 1)
@@ -297,17 +324,11 @@ class Model:
         s, total = _exps(s)
         a = (s @ e).reshape(-1, d)
         a /= total.reshape(-1, 1)
-        h = a @ vo
-        h += tail
-        m = h @ p["w1"]
-        wide = m.reshape(n, -1)
-        wide += b1
+        h = _and_one(a @ vo, tail)
+        m = h @ w1
         np.maximum(m, 0, out=m)
-        h += m @ p["w2"]
-        g = h @ p["g"]
-        wide = g.reshape(n, -1)
-        wide += bg
-        return _exps(g)[0]
+        h[:, :d] += m @ p["w2"]
+        return _exps(h @ last)
 
     def settle(self, counts: np.ndarray) -> None:
         """The table from counts of (id, expert)."""
@@ -318,12 +339,11 @@ class Model:
         """Of each id: log10 of its probability, and of the probability that a word begins there or the text ends."""
         out = np.empty((3, laid.targets.size), np.float32)
         begin = self.table[self.starts].sum(0, dtype=float).astype(np.float32)
-        one = np.ones(EXPERTS, np.float32)
         for lo in range(0, len(laid.targets), LANES):
             x, y = laid.windows(slice(lo, lo + LANES))
-            g = self.gates(x)
+            g, total = self.sized_gates(x)
             some = slice(lo * SCORED, lo * SCORED + len(g))
-            np.matmul(g, one, out=out[0, some])
+            out[0, some] = total
             np.matmul(g, begin, out=out[1, some])
             np.einsum("ij,ij->i", g, self.table.take(y.ravel(), axis=0), out=out[2, some])
         out = np.maximum(out.take(laid.place, axis=1), np.float32(1e-30))
@@ -339,19 +359,23 @@ class Model:
         r = self.table.take(y.ravel(), axis=0)
         r *= g
         total = r @ np.ones(r.shape[1], r.dtype) + r.dtype.type(1e-30)
-        r /= total[:, None]
+        r *= (1 / total)[:, None]
         known = max(1, int(on.sum()))
         loss = -float((np.log(total) * on.ravel()).sum()) / known
-        column = lambda z: np.ones(len(z), z.dtype) @ z  # noqa: E731  sums of the columns
         dg = g
         dg -= r
-        dg *= (on.ravel() / known).astype(g.dtype)[:, None]
-        grad = {"g": h2.T @ dg, "bg": column(dg)}
-        dh = dg @ p["g"].T
+        if known < len(dg):
+            dg[~on.ravel()] = 0
+        each = dg.dtype.type(1 / known)  # the gradient is linear in dg: narrower arrays are divided
+        last = h2.T @ dg
+        last *= each
+        grad = {"g": last[:d], "bg": last[d]}
+        dh = dg @ (p["g"].T * each)
         grad["w2"] = m.T @ dh
         dm = dh @ p["w2"].T
         dm *= m > 0
-        grad["w1"], grad["b1"] = h.T @ dm, column(dm)
+        first = h.T @ dm
+        grad["w1"], grad["b1"] = first[:d], first[d]
         dh += dm @ p["w1"].T
         dvo = a.T @ dh
         grad["v"], grad["o"] = dvo @ p["o"].T, p["v"].T @ dvo
@@ -366,7 +390,7 @@ class Model:
         grad["q"], grad["k"] = dqk @ p["k"], dqk.T @ p["q"]
         dh += dt @ qk.T
         de[:, WINDOW - SCORED :] += dh.reshape(n, SCORED, d)
-        grad["pos"] = column(de.reshape(n, -1)).reshape(WINDOW, d)
+        grad["pos"] = (np.ones(n, de.dtype) @ de.reshape(n, -1)).reshape(WINDOW, d)
         # of the embeddings, only the rows in use: the others' gradient is 0
         both = np.zeros((n, WINDOW, 2 * d), de.dtype)
         both[:, :, :d], both[:, :-1, d:] = de, de[:, 1:]
@@ -386,9 +410,17 @@ class Adam:
         self.steps += 1
         for n, g in grad.items():
             at, g = g if isinstance(g, tuple) else (slice(None), g)
-            self.m1[n][at] = a = 0.9 * self.m1[n][at] + 0.1 * g
-            self.m2[n][at] = b = 0.99 * self.m2[n][at] + 0.01 * g * g
-            self.p[n][at] -= rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-6)
+            a, b = self.m1[n][at], self.m2[n][at]  # of some rows, these are copies
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.99
+            b += 0.01 * (g * g)
+            self.m1[n][at], self.m2[n][at] = a, b
+            step = np.sqrt(b * (1 / (1 - 0.99**self.steps)))
+            step += 1e-6
+            np.divide(a, step, out=step)
+            step *= rate / (1 - 0.9**self.steps)
+            self.p[n][at] -= step
 
 
 #: Parameters with a row for each id.
@@ -409,6 +441,7 @@ class Learner:
         on = laid.on()
         self.n += np.bincount(laid.targets.ravel()[laid.place], minlength=len(self.n))
         order = self.rng.permutation(len(on))
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # responsibilities that aren't added yet
         for lo in range(0, len(order), LANES):
             some = order[lo : lo + LANES]
             x, y = laid.windows(some)
@@ -416,7 +449,10 @@ class Learner:
             done = min(1.0, (self.seen + rows * lo / len(order)) / self.rows)
             _, grad, r = self.model.gradient(x, y, o)
             self.adam.step(grad, LEARNER_RATE * (1 - 0.9 * done))
-            _add_rows(self.soft, y[o], r[o])
+            held.append((y[o], r[o]))
+            if len(held) == HELD or lo + LANES >= len(order):
+                _add_rows(self.soft, *map(np.concatenate, zip(*held, strict=True)))
+                held.clear()
         self.seen += rows
 
     def by_id(self, ids: np.ndarray) -> np.ndarray:
