@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import ship_package, staged, unstage
+from ..session import ship_package, staged, unbroadcast, unstage
 from .lookup import lookup
 from .terrain import D8_STEPS, NO_FLOW
 from .tiles import PLACE, PLACE_KINDS, TILE, lists, tile_of, values_of
@@ -40,10 +40,10 @@ def accumulate(nodes: DataFrame, weights: Sequence[str]) -> DataFrame:
         ahead = moving.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("root").alias("_root")).unionByName(settled)
         gained = staged(moving.groupBy(F.col("next").alias("id")).agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.count(F.lit(1)).alias("n")), "gained")
         more = [(F.col(s) + F.coalesce(F.col(f"_{s}"), F.lit(0.0))).alias(s) for s in sums]
-        found = lookup(moving, ahead, ["next"], gained.select(F.col("id").alias("next"), "n"))
-        jumped = found.join(gained, "id", "left").select("id", "ptr", F.col("_next").alias("next"), F.col("_root").alias("root"), *more)
+        found = lookup(moving, unbroadcast(ahead), ["next"], gained.select(F.col("id").alias("next"), "n"))
+        jumped = found.join(unbroadcast(gained), "id", "left").select("id", "ptr", F.col("_next").alias("next"), F.col("_root").alias("root"), *more)
         none = F.lit(None).cast("long")
-        late = gained.join(moving.select("id"), "id", "left_anti").select("id", none.alias("ptr"), none.alias("next"), none.alias("root"), *[F.col(f"_{s}").alias(s) for s in sums])
+        late = gained.join(unbroadcast(moving.select("id")), "id", "left_anti").select("id", none.alias("ptr"), none.alias("next"), none.alias("root"), *[F.col(f"_{s}").alias(s) for s in sums])
         parts.append(staged(jumped.unionByName(late), "drainage"))
         unstage(gained)
     else:
@@ -122,11 +122,11 @@ def accumulate_tiles(tiles: DataFrame, weights: Sequence[str | None], height: in
     graph = staged(tiles.select(*PLACE, "dir", *named).mapInArrow(border, edge), "tile-borders")
     leaving = graph.where("leaves").drop("leaves")
     arrive = graph.where("not leaves").select(F.col("id").alias("to"), F.col("to").alias("ptr"))
-    nodes = staged(leaving.join(arrive, "to"), "tile-exits")
-    ends = nodes.select(F.col("ptr").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    nodes = staged(leaving.join(unbroadcast(arrive), "to"), "tile-exits")
+    ends = nodes.select(F.col("ptr").alias("id")).distinct().join(unbroadcast(nodes.select("id")), "id", "left_anti")
     ends = ends.select("id", F.lit(None).cast("long").alias("ptr"), *[F.lit(0.0).alias(s) for s in sums])
     solved = accumulate(nodes.select("id", "ptr", *sums).unionByName(ends), sums)
-    solved = nodes.select("id", "to").join(solved.select("id", "root", *[F.col(f"acc_{s}").alias(s) for s in sums]), "id")
+    solved = nodes.select("id", "to").join(unbroadcast(solved.select("id", "root", *[F.col(f"acc_{s}").alias(s) for s in sums])), "id")
     solved = staged(solved, "tile-solved")
     zero = [F.lit(0.0).alias(s) for s in sums]
     news = solved.select(F.col("to").alias("id"), F.lit(None).cast("long").alias("root"), *sums).unionByName(solved.select("id", "root", *zero))
@@ -167,4 +167,4 @@ def unit_labels(cells: DataFrame) -> DataFrame:
 
     roots = cells.where("ptr is not null").select("root").distinct()
     numbered = staged(positions(roots, "root", "_at").select("root", (F.col("_at") + 1).cast("int").alias("_label")), "roots")
-    return lookup(cells, numbered, ["root"]).withColumn("label", F.when(F.col("ptr").isNotNull(), F.col("_label")).otherwise(0)).drop("_label")
+    return lookup(cells, unbroadcast(numbered), ["root"]).withColumn("label", F.when(F.col("ptr").isNotNull(), F.col("_label")).otherwise(0)).drop("_label")

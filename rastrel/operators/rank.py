@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import staged
+from ..session import staged, unbroadcast
 from .lookup import lookup
 
 
@@ -35,7 +35,7 @@ def average_rank_cdf(cells: DataFrame, value: str, out: str) -> DataFrame:
     total = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
     ranked = positions(counts, value, "_below", "_n").join(total)
     cdf = F.when(F.col("_all") <= 1, F.lit(0.0)).otherwise((F.col("_below") + (F.col("_n") - 1) / F.lit(2.0)) / (F.col("_all") - 1))
-    return lookup(cells, staged(ranked.select(value, cdf.alias(out)), "cdf"), [value], counts.withColumnRenamed("_n", "n"))
+    return lookup(cells, unbroadcast(staged(ranked.select(value, cdf.alias(out)), "cdf")), [value], counts.withColumnRenamed("_n", "n"))
 
 
 def joint_probability(cells: DataFrame) -> DataFrame:
@@ -54,4 +54,4 @@ def spread_units(cells: DataFrame, units: DataFrame) -> DataFrame:
 
     A unit may hold a large share of the cells, as may label 0, which has no value: neither is gathered in one task.
     """
-    return lookup(cells, units, ["label"]).withColumn("ps_l", F.when(F.col("slope").isNotNull(), F.coalesce("unit_value", F.lit(0.0).cast("float")))).drop("unit_value")
+    return lookup(cells, unbroadcast(units), ["label"]).withColumn("ps_l", F.when(F.col("slope").isNotNull(), F.coalesce("unit_value", F.lit(0.0).cast("float")))).drop("unit_value")

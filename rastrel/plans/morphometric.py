@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import drainage, flood, rank, tiles
-from ..session import staged
+from ..session import staged, unbroadcast
 from ..sources import rasters
 
 
@@ -37,7 +37,7 @@ def drained(dem: DataFrame, height: int, width: int, s: Settings = Settings()) -
         z = flood.fill_tiles(staged(z, "dem-tiles"), height, width, s.tile)
     flow = staged(tiles.terrain(z, height, width, s.dx, s.dy, s.mode, s.tile), "terrain-tiles")
     sums = drainage.accumulate_tiles(flow, [None, "slope"], height, width, s.tile)
-    both = flow.select("tr", "tc", "slope", "dir").join(sums, ["tr", "tc"])
+    both = flow.select("tr", "tc", "slope", "dir").join(unbroadcast(sums), ["tr", "tc"])
     cells = tiles.to_cells(both, ["slope", "dir", "ptr", "root", "acc_0", "acc_1"])
     beta = (F.col("acc_1") / F.col("acc_0")).cast("float")
     flat = F.col("r").cast("long") * width + F.col("c")

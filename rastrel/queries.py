@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions.cells import clean_factor, int_list, null_nodata, strip_module
 from .operators import attrib, drainage, flood, loader, metrics, mosaic, network, rank, sample, score, smooth, terrain, tiles, windows
 from .plans import explain, fixtures, morphometric, predict, prepare, train
-from .session import new_folder, staged
+from .session import new_folder, staged, unbroadcast
 from .sources import catalog, config, patches, rasters, reports, tilefiles, weights
 
 WEIGHTS = [((b % 5) - 2) * 0.25 for b in range(20)]
@@ -543,7 +543,7 @@ def morphometric_outputs(spark, sf_dir):
     """The rasters of a whole run, as they are read back."""
     out = new_folder(spark, "morphometric")
     morphometric.run(fixtures.dem(spark, sf_dir), out, morphometric.Settings(tile=TILE))
-    read = lambda name: rasters.read(spark, f"{out}/{name}").select("r", "c", F.col("v").cast("double").alias(name))
+    read = lambda name: unbroadcast(rasters.read(spark, f"{out}/{name}").select("r", "c", F.col("v").cast("double").alias(name)))
     return read("ps_l").join(read("beta"), ["r", "c"]).join(read("flow_acc"), ["r", "c"]).select("r", "c", "flow_acc", _r("beta", 4), _r("ps_l", 4))
 
 

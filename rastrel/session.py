@@ -83,6 +83,15 @@ def unstage(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """`df` for a join that shuffles both sides, whatever the size of their files.
+
+    Spark broadcasts tables of small files, through the driver; but cells in order compress well, so files of 10 MB may
+    hold rows that take a hundred times that.
+    """
+    return df.hint("merge")
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete all that this application has staged. Results that were not yet written or collected can't be read then."""
     _delete(spark, staging_dir(spark))
