@@ -21,7 +21,9 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 20)).alias("band", "v"))
+    """Twenty bands of each pixel; what a null or short embedding lacks is null."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.get("embedding", i))
+    d = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(bands).alias("band", "v"))
     return d.select(F.expr("CAST(vec_id DIV 25 AS INT)").alias("r"), F.expr("CAST(vec_id % 25 AS INT)").alias("c"), "band", (F.col("v").cast("double") * 2 + 0.5).alias("v"))
 
 

@@ -22,13 +22,14 @@ def pixel_local(factors: DataFrame, weights: Sequence[float], bias: float, mask:
     return mosaic.masked(p, mask, ["r", "c"], "p") if mask is not None else p
 
 
-def windowed_tiles(stack: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, tile: int, masked: bool = False) -> DataFrame:
+def windowed_tiles(stack: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, tile: int, masked: bool = False, present: str | None = None) -> DataFrame:
     """overlap, r, c, p of a scorer that looks at whole windows, from tiles (.., b0, b1, ...) of `tile` cells a side.
 
     A tile with a halo of crop - 1 cells below and to the right holds all windows that start in it, of all overlaps:
     each pixel is shuffled to its tile and the halos it lies in, not to every window. A window gives the pixels that
     it writes last; those of a tile's windows form one rectangle. `load`, run once in a task, gives a function from
-    (bands, crop, crop), cleaned, to probabilities (crop, crop). masked: null where the first band has no data.
+    (bands, crop, crop), cleaned, in the tiles' precision, to probabilities (crop, crop). masked: null where the first
+    band has no data. present: an array of the tiles that is NaN where the raster has no cell; such are left out.
     """
     count = {o: (windows.n_starts(height, crop, o), windows.n_starts(width, crop, o)) for o in overlaps}
     runs = [o for o in overlaps if min(count[o])]
@@ -44,7 +45,7 @@ def windowed_tiles(stack: DataFrame, height: int, width: int, crop: int, overlap
         if not held:
             held.append(load())
         raw = np.stack([x.arrays[b] for b in bands])
-        clean = np.clip(np.nan_to_num(raw.astype(np.float32)), 0, 1)
+        clean = np.clip(np.nan_to_num(raw), 0, 1)
         out = {}
         for o in runs:
             rows, end = span(x.r0, x.h, height, crop - o, count[o][0])
@@ -52,21 +53,24 @@ def windowed_tiles(stack: DataFrame, height: int, width: int, crop: int, overlap
             p = np.zeros((max(0, end - rows.start) if len(rows) else 0, max(0, right - cols.start) if len(cols) else 0))
             for r in rows if p.size else ():
                 for c in cols:
-                    win = np.zeros((num_bands, crop, crop), np.float32)
+                    win = np.zeros((num_bands, crop, crop), raw.dtype)
                     cut = clean[:, r - x.r0 : r - x.r0 + crop, c - x.c0 : c - x.c0 + crop]
                     win[:, : cut.shape[1], : cut.shape[2]] = cut
                     h = (end if r == rows[-1] else r + crop - o) - r
                     w = (right if c == cols[-1] else c + crop - o) - c
                     p[r - rows.start : r - rows.start + h, c - cols.start : c - cols.start + w] = held[0](win)[:h, :w]
+            here = lambda a, p=p, r=rows.start - x.r0, c=cols.start - x.c0: a[r : r + p.shape[0], c : c + p.shape[1]]
             if masked and p.size:
-                known = raw[0][rows.start - x.r0 :, cols.start - x.c0 :][: p.shape[0], : p.shape[1]]
-                p[np.isnan(known)] = np.nan
+                p[np.isnan(here(raw[0]))] = np.nan
             out[f"p{o}"] = p
+            if present:
+                out[f"on{o}"] = ~np.isnan(here(x.arrays[present]))
         return out
 
     if not runs:
         return stack.sparkSession.createDataFrame([], "overlap int, r int, c int, p double")
-    scored = tiles.stencil(stack, bands, crop - 1, height, width, work, {f"p{o}": "double" for o in runs}, tile, before=0)
+    made = {f"p{o}": "double" for o in runs} | ({f"on{o}": "boolean" for o in runs} if present else {})
+    scored = tiles.stencil(stack, [*bands, *([present] if present else [])], crop - 1, height, width, work, made, tile, before=0)
     start = lambda at, s: (F.ceil(F.col(at) / F.lit(s)) * s).cast("int")
 
     def wide(o: int):
@@ -74,16 +78,21 @@ def windowed_tiles(stack: DataFrame, height: int, width: int, crop: int, overlap
         last = F.ceil((F.col("c0") + F.col("w")) / F.lit(s)) >= k
         return (F.when(last, F.lit(width)).otherwise(F.ceil((F.col("c0") + F.col("w")) / F.lit(s)) * s) - start("c0", s)).cast("int")
 
-    parts = F.array(*[F.struct(F.lit(o).alias("overlap"), start("r0", crop - o).alias("r0"), start("c0", crop - o).alias("c0"), wide(o).alias("w"), F.col(f"p{o}").alias("p")) for o in runs])
-    return tiles.to_cells(scored.select(F.explode(parts).alias("x")).select("x.*"), ["p"], keep=["overlap"])
+    values = ["p", "on"] if present else ["p"]
+    parts = F.array(*[F.struct(F.lit(o).alias("overlap"), start("r0", crop - o).alias("r0"), start("c0", crop - o).alias("c0"), wide(o).alias("w"), *[F.col(f"{v}{o}").alias(v) for v in values]) for o in runs])
+    cells = tiles.to_cells(scored.select(F.explode(parts).alias("x")).select("x.*"), values, keep=["overlap"])
+    return cells.where("on").drop("on") if present else cells
 
 
-def windowed(factors: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, tile: int | None = None) -> DataFrame:
-    """overlap, r, c, p of `windowed_tiles` over cells r, c, f (array of bands). tile: two crops a side if not given."""
+def windowed(factors: DataFrame, height: int, width: int, crop: int, overlaps: Sequence[int], load: Callable[[], Callable[[np.ndarray], np.ndarray]], num_bands: int, tile: int | None = None, precision: str = "float") -> DataFrame:
+    """overlap, r, c, p of `windowed_tiles` for the cells r, c, f (array of bands) that are given, and no others.
+
+    tile: two crops a side if not given. precision: float or double, of what the scorer sees.
+    """
     tile = tile or 2 * crop
     bands = [f"b{i}" for i in range(num_bands)]
-    flat = factors.select("r", "c", *[F.get("f", F.lit(i)).cast("float").alias(b) for i, b in enumerate(bands)])
-    return windowed_tiles(tiles.from_cells(flat, bands, height, width, tile), height, width, crop, overlaps, load, num_bands, tile)
+    flat = factors.select("r", "c", *[F.get("f", F.lit(i)).cast(precision).alias(b) for i, b in enumerate(bands)], F.lit(1).cast("float").alias("present"))
+    return windowed_tiles(tiles.from_cells(flat, [*bands, "present"], height, width, tile), height, width, crop, overlaps, load, num_bands, tile, present="present")
 
 
 def risk_map(maps: DataFrame, base: DataFrame | None = None, pixel: tuple[str, ...] = ("r", "c")) -> tuple[DataFrame, DataFrame]:

@@ -340,7 +340,7 @@ def _linear_windows():
 def window_scores(spark, sf_dir):
     factors = fixtures.factors(spark, sf_dir)
     h, w = _size(factors)
-    out = predict.windowed(score.band_stack(factors), h, w, 8, [2, 3], _linear_windows, 20)
+    out = predict.windowed(score.band_stack(factors), h, w, 8, [2, 3], _linear_windows, 20, precision="double")
     return out.select("overlap", "r", "c", _r("p", 4))
 
 
